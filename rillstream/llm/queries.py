@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding, token_counts, toxicity
+from . import decontaminate, minhash, sharding, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +23,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans", "items")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(spark, _read(spark, sf_dir, "documents"), size=3, threshold=Fraction(85, 100))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     return toxicity.toxicity(spark, documents, toxicity.fit(spark, documents, _read(spark, sf_dir, "labels")))
@@ -30,7 +36,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(spark, _read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op8_toxicity, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op5_minhash, op8_toxicity, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -59,3 +65,22 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
     sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN hits h USING (doc_id) LEFT JOIN named n USING (doc_id)
 """
+
+ORACLE_SQL["op5_minhash"] = r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT DISTINCT doc_id, hash(list_slice(w, i, i + 2)) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 2))) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), links AS (
+    SELECT x.a, x.b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS both FROM sets p JOIN sets q ON p.s = q.s AND p.doc_id <> q.doc_id GROUP BY 1, 2) x
+    JOIN sizes m ON m.doc_id = x.a JOIN sizes n ON n.doc_id = x.b WHERE 100 * x.both >= 85 * (m.n + n.n - x.both)
+), reach AS (
+    SELECT doc_id AS node, doc_id AS root FROM docs UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node
+), least AS (
+    SELECT node, min(root) AS root FROM reach GROUP BY node
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, l.root AS component_id, l.root = d.doc_id AS kept
+FROM docs d LEFT JOIN sizes n ON n.doc_id = d.doc_id JOIN least l ON l.node = d.doc_id
+"""
