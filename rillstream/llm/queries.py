@@ -7,7 +7,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, sharding, token_counts, toxicity
+from . import decontaminate, lattice, minhash, sharding, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.sampled_pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.drop("spans", "items")
@@ -36,7 +40,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(spark, _read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_decontamination, op5_minhash, op8_toxicity, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_decontamination, op5_minhash, op8_toxicity, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
 
