@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rillstream.llm import decontaminate, toxicity
+from rillstream.llm import decontaminate, lattice, minhash, toxicity
 from rillstream.llm.common import Scratch
 
 
@@ -14,14 +15,26 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.toxicity(spark, docs, machine, keep=docs.columns).where("predicted = 0").select(*docs.columns)
 
 
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: shingles of five words, a similarity of 0.8 or more."""
+    return minhash.drop_near_duplicates(spark, docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of ``benchmark``."""
     return decontaminate.decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every document, with the check that it decodes to its text."""
+    return lattice.sampled_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 STAGES = [
     ("toxicity", toxicity_stage),
+    ("near duplicates", near_duplicates_stage),
     ("decontamination", decontamination_stage),
+    ("sentencepiece", sentencepiece_stage),
 ]
 
 #: SQL can't express the learned model, the sampled signatures or the sampled segmentations: see tests/llm.
@@ -32,9 +45,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; what each returns is written and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        after = scratch.table(stage(spark, docs, sf_dir), name)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{k}")
         if k:
-            scratch.drop(STAGES[k - 1][0])
-        docs = after
+            scratch.drop(f"stage-{k - 1}")
     return docs
