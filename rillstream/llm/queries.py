@@ -6,8 +6,10 @@ from fractions import Fraction
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, lattice, minhash, sharding, token_counts, toxicity
+from . import decontaminate, fingerprints, lattice, minhash, sharding, token_counts, toxicity, url_rules, warc
+from .common import Scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,10 +29,25 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("spans", "items")
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(spark, _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "labels"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, _read(spark, sf_dir, "documents"), size=3, threshold=Fraction(85, 100))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(spark, _read(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = Scratch(spark, "warc").path("archives")
+    warc.write_archives(spark, _read(spark, sf_dir, "pages"), archives)
+    found = warc.revisited(warc.read_archives(spark, archives))
+    return found.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     return toxicity.toxicity(spark, documents, toxicity.fit(spark, documents, _read(spark, sf_dir, "labels")))
@@ -40,7 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(spark, _read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_decontamination, op5_minhash, op8_toxicity, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_decontamination, op4_url_rules, op5_minhash, op6_fingerprints, op7_warc, op8_toxicity, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -88,3 +105,18 @@ WITH RECURSIVE docs AS (
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, l.root AS component_id, l.root = d.doc_id AS kept
 FROM docs d LEFT JOIN sizes n ON n.doc_id = d.doc_id JOIN least l ON l.node = d.doc_id
 """
+
+ORACLE_SQL["op7_warc"] = r"""
+WITH heads AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex, coalesce(html, '') AS html FROM pages
+), digits AS (
+    SELECT *, [CAST('0x' || substr(hex, 1 + 5 * k, 5) AS BIGINT) FOR k IN range(8)] AS v FROM heads
+), named AS (
+    SELECT page_id, payload_bytes, html, list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v[1 + k // 4] >> (15 - 5 * (k % 4))) & 31) + 1, 1) FOR k IN range(32)], 'string_agg', '') AS payload_digest FROM digits
+), largest AS (
+    SELECT html, max(page_id) AS page FROM named GROUP BY html
+)
+SELECT n.page_id, n.payload_bytes, n.payload_digest, CASE WHEN n.page_id = l.page THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN n.page_id <> l.page THEN l.page END AS refers_to
+FROM named n JOIN largest l ON l.html = n.html
+"""
