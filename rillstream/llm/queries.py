@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, lattice, minhash, sharding, token_counts, toxicity, url_rules, warc
+from . import decontaminate, fingerprints, lattice, lm, minhash, sharding, token_counts, toxicity, url_rules, warc
 from .common import Scratch
 
 
@@ -53,11 +53,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(spark, documents, toxicity.fit(spark, documents, _read(spark, sf_dir, "labels")))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(spark, _read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(spark, _read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_decontamination, op4_url_rules, op5_minhash, op6_fingerprints, op7_warc, op8_toxicity, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sentencepiece, op3_decontamination, op4_url_rules, op5_minhash, op6_fingerprints, op7_warc, op8_toxicity, op9_lm_scores, op10_sharding)}
 
 ORACLE_SQL: dict[str, str] = {}
 
