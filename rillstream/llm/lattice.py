@@ -64,6 +64,44 @@ class _Words(dict):
         return n
 
 
+class _Trie:
+    """The pieces' trie; many steps are taken at once through a table of (state, character), probed in a row."""
+
+    def __init__(self, ids: dict[str, int], weight: dict[str, float]):
+        states = {"": 0}
+        for piece in ids:
+            for k in range(1, len(piece) + 1):
+                states.setdefault(piece[:k], len(states))
+        self.piece = np.full(len(states), -1)
+        self.weight = np.zeros(len(states))
+        for piece, i in ids.items():
+            self.piece[states[piece]], self.weight[states[piece]] = i, weight[piece]
+        self.bits = (4 * len(states)).bit_length()
+        self.key, self.next = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int64)
+        keys = np.array([(states[p[:-1]] << 21) | ord(p[-1]) for p in states if p])
+        for key, state, slot in zip(keys.tolist(), range(1, len(states)), self._slot(keys).tolist()):
+            while self.key[slot] >= 0:
+                slot = (slot + 1) & ((1 << self.bits) - 1)
+            self.key[slot], self.next[slot] = key, state
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * _GOLDEN) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The next states, 0 where there is none."""
+        key = (state << 21) | char
+        slot = self._slot(key)
+        out = np.zeros(len(key), np.int64)
+        live = np.arange(len(key))
+        while live.size:
+            held = self.key[slot[live]]
+            same = held == key[live]
+            out[live[same]] = self.next[slot[live[same]]]
+            live = live[~same & (held >= 0)]
+            slot[live] = (slot[live] + 1) & ((1 << self.bits) - 1)
+        return out
+
+
 class Lattice:
     """A model's pieces with their weights, and the remembered forward sums of words."""
 
@@ -94,9 +132,9 @@ class Lattice:
         self.longest = max(map(len, self.id))
         #: characters that are side by side in some piece
         self.pairs = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
-        #: piece -> (id, weight), and None for what only begins one
-        self.begins: dict[str, tuple[int, float] | None] = {p[:k]: None for p in self.id for k in range(1, len(p))}
-        self.begins |= {p: (i, self.weight[p]) for p, i in self.id.items()}
+        #: pieces and their beginnings, to stop looking early
+        self.begins = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
+        self.trie = _Trie(self.id, self.weight)
         self.forget()
 
     def forget(self) -> None:
@@ -106,6 +144,7 @@ class Lattice:
         self.nodes = 0
         self.first = array("q", [0])  # of a word: its first entry in the two below
         self.node, self.end = array("q"), array("q")  # of its parts: the last node, the end's place in the word
+        self.new: list[str] = []  # parts whose nodes have no edges yet
         self.long: list[str] = []  # parts that are not remembered; their entry in node is -1 - number
 
     def _split(self, key: str) -> int:
@@ -157,54 +196,85 @@ class Lattice:
                 sums[low:] = [x * 1e150 for x in sums[low:]]
         return out
 
-    def _short(self, word: str) -> list[list[tuple[int, int, float]]]:
-        """``_edges`` and ``_forward`` in one pass, for words too short for sums to vanish: for each border (start, piece, chance)."""
-        n, get = len(word), self.begins.get
-        ends: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        total = 1.0
-        for a in range(n):
-            if a:
+    def _learn(self, part: str) -> int:
+        """Give a new part's borders the next nodes, ``first .. last``, and return the last; its edges are worked out with those of other new parts."""
+        if len(part) > SHORT:
+            self._learn_new()
+            edges = self._edges(part)
+            for k, (end, chances) in enumerate(zip(edges, self._forward(edges)), self.nodes):
                 total = 0.0
-                for x in ends[a]:
-                    total += x[2]
-            for b in range(a + 1, n + 1):
-                found = get(word[a:b], 0)
-                if found:
-                    ends[b].append((a, found[0], total * found[1]))
-                elif found == 0:
-                    break
-            if not get(word[a]):
-                c = word[a]
-                ends[a + 1].append((a, self.size + ord(c), total * self.byte_weight ** len(c.encode())))
-        return ends[1:]
-
-    def _learn(self, word: str) -> int:
-        """Add a word's lattice; its borders become nodes ``first .. last``, and the last is returned."""
-        first = self.nodes
-        if len(word) <= SHORT:
-            borders = self._short(word)
+                for j, ((a, piece, _), p) in enumerate(zip(end, chances)):
+                    total = total + p if j + 1 < len(end) else 1.0
+                    self.keys.append(k + min(total, 1.0))
+                    self.before.append(self.nodes + a - 1 if a else -1)
+                    self.piece.append(piece)
         else:
-            edges = self._edges(word)
-            borders = [[(a, piece, p) for (a, piece, _), p in zip(end, chances)] for end, chances in zip(edges, self._forward(edges))]
-        node = first
-        for end in borders:
-            if len(end) > 1:
-                total = part = 0.0
-                for x in end:
-                    total += x[2]
-                for x in end[:-1]:
-                    part += x[2] / total
-                    self.keys.append(node + min(part, 1.0))
-                    self.before.append(first + x[0] - 1 if x[0] else -1)
-                    self.piece.append(x[1])
-            x = end[-1]
-            self.keys.append(node + 1.0)
-            self.before.append(first + x[0] - 1 if x[0] else -1)
-            self.piece.append(x[1])
-            node += 1
-        self.nodes = node
-        self.parts[word] = node - 1
-        return node - 1
+            self.new.append(part)
+        self.nodes += len(part)
+        self.parts[part] = self.nodes - 1
+        return self.nodes - 1
+
+    def _learn_new(self) -> None:
+        """Forward sums of all new parts at once, none of them so long that they could vanish."""
+        if not self.new:
+            return
+        size = np.array([len(p) for p in self.new])
+        chars = np.frombuffer("".join(self.new).encode("utf-32-le"), np.uint32).astype(np.int64)
+        n = len(chars)
+        self.new = []
+        first = np.repeat(np.cumsum(size) - size, size)
+        stop = first + np.repeat(size, size)
+        # pieces that start at each character: all starts go down the trie together
+        starts, ends, pieces, weights = [], [], [], []
+        at, state = np.arange(n), np.zeros(n, np.int64)
+        for k in range(self.longest):
+            state = self.trie.step(state, chars[at + k])
+            at, state = at[state > 0], state[state > 0]
+            hit = self.trie.piece[state] >= 0
+            starts.append(at[hit])
+            ends.append(at[hit] + k)
+            pieces.append(self.trie.piece[state[hit]])
+            weights.append(self.trie.weight[state[hit]])
+            if not k:
+                odd = np.ones(n, bool)
+                odd[at[hit]] = False
+                odd = np.flatnonzero(odd)
+            more = at + k + 1 < stop[at]
+            at, state = at[more], state[more]
+            if not at.size:
+                break
+        c = chars[odd]
+        width = 1 + (c >= 0x80).astype(int) + (c >= 0x800) + (c >= 0x10000)
+        start, end = np.concatenate([*starts, odd]), np.concatenate([*ends, odd])
+        piece, weight = np.concatenate([*pieces, self.size + c]), np.concatenate([*weights, self.byte_weight**width])
+        # sums behind each character, in the order of places within the parts
+        place = end - first[end]
+        order = np.lexsort((start, end, place))
+        start, end, piece, weight, place = start[order], end[order], piece[order], weight[order], place[order]
+        sums = np.empty(n)
+        new = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1])))
+        chance = np.empty(len(start))
+        bounds = np.searchsorted(place, np.arange(place[-1] + 2))
+        groups = np.searchsorted(new, bounds)
+        for p in range(len(bounds) - 1):
+            a, b = bounds[p], bounds[p + 1]
+            own = weight[a:b] * np.where(start[a:b] > first[end[a:b]], sums[start[a:b] - 1], 1.0)
+            g = new[groups[p] : groups[p + 1]] - a
+            total = np.add.reduceat(own, g)
+            sums[end[a:b][g]] = total
+            chance[a:b] = own / np.repeat(total, np.diff(np.append(g, b - a)))
+        # by node: the sum of chances up to each edge, the last of a node's exactly 1
+        order = np.lexsort((start, end))
+        start, end, piece, chance = start[order], end[order], piece[order], chance[order]
+        last = np.flatnonzero(np.concatenate((end[1:] != end[:-1], [True])))
+        total = np.cumsum(chance)
+        before = np.concatenate(([0.0], total[last[:-1]]))
+        part = np.minimum(total - np.repeat(before, np.diff(np.concatenate(([-1], last)))), 1.0)
+        part[last] = 1.0
+        base = self.nodes - n
+        self.keys.frombytes((base + end + part).tobytes())
+        self.before.frombytes(np.where(start > first[end], base + start - 1, -1).astype(np.int64).tobytes())
+        self.piece.frombytes(piece.astype(np.int32).tobytes())
 
     def _walk_long(self, word: str, key: np.uint64, place: int) -> list[int]:
         """Pieces of a word that is not remembered, last first."""
@@ -236,6 +306,7 @@ class Lattice:
             sizes.extend(map(len, words))
         if not known:
             return [np.empty(0, np.int32)] * len(texts)
+        self._learn_new()
         # words to parts: the last node, the place where it ends, the text
         word, n = np.array(known), np.array(counts)
         owner = np.repeat(np.arange(len(texts)), n)
