@@ -53,13 +53,13 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
 def sketch(text: Column, keep: int = KEEP) -> Column:
     """The ``keep`` least 32-bit hashes of the text's anchors, ascending."""
-    hashes = F.transform(anchors(text), lambda a: F.shiftrightunsigned(a["hash"], 32).cast("long"))
+    hashes = F.transform(anchors(text), lambda a: F.shiftright(a["hash"], 32).cast("int"))
     return F.slice(F.array_sort(F.array_distinct(hashes)), 1, keep)
 
 
 def written(sketched: Column) -> Column:
     """A fingerprint as a string: eight hexadecimal digits for each hash."""
-    return F.array_join(F.transform(sketched, lambda h: F.lpad(F.lower(F.hex(h)), 8, "0")), "")
+    return F.array_join(F.transform(sketched, lambda h: F.lower(F.lpad(F.substring(F.hex(h), -8, 8), 8, "0"))), "")
 
 
 def likeness(a: Column, b: Column, keep: int = KEEP) -> Column:
@@ -106,25 +106,29 @@ def edited_fingerprints(spark: SparkSession, df: DataFrame, id_col: str = "doc_i
     descending order of ids. Returns ``<id_col>, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
     A null text counts as empty and has an empty fingerprint. Rows that repeat id and text are one document in the order, and all get
     its results; texts that share an id, null ids too, are ordered by hash, null ids last. One document alone is its own next.
-    Texts are shuffled by id once (the exchange is used twice), and the third that the next document gives once.
+    Texts are shuffled by id once (the exchange is used twice), and the third that the next document gives once; the rest is ids and sketches.
     """
     scratch = Scratch(spark, "fingerprints")
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    heads = scratch.table(docs.select("id", "th", F.length("text").alias("n"), sketch(F.col("text")).alias("sketch")).dropDuplicates(["id", "th"]), "sketches")
-    nexts = following(scratch, heads.select("id", "th"))
-    asked = nexts.join(heads.drop("sketch").withColumnsRenamed({"id": "id_", "th": "th_"}), F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_"))).select("id", "th", "next_id", "next_th", "n")
-    given = (
-        docs.alias("d")
-        .join(asked.withColumnsRenamed({"id": "id_", "th": "th_"}).alias("a"), F.col("d.id").eqNullSafe(F.col("a.next_id")) & (F.col("d.th") == F.col("a.next_th")))
-        .select(F.col("id_").alias("to_id"), F.col("th_").alias("to_th"), F.col("next_id"), F.col("next_th"), F.substring("text", F.lit(1), F.floor(F.col("n") / 3).cast("int")).alias("front"))
-        .dropDuplicates(["to_id", "to_th"])
-    )
-    near = heads.select(F.col("id").alias("next_id_"), F.col("th").alias("next_th_"), F.col("sketch").alias("next_sketch"))
-    given = given.join(near, F.col("next_id").eqNullSafe(F.col("next_id_")) & (F.col("next_th") == F.col("next_th_"))).drop("next_id_", "next_th_", "next_id", "next_th")
-    own = heads.select(F.col("id").alias("own_id"), F.col("th").alias("own_th"), "n", "sketch")
-    given = given.join(own, F.col("to_id").eqNullSafe(F.col("own_id")) & (F.col("to_th") == F.col("own_th")))
-    whole = docs.join(given, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("th") == F.col("to_th")))
+    heads = scratch.table(docs.select("id", "th", F.length("text").alias("n"), sketch(F.col("text")).alias("sketch")), "sketches")
+    keys = heads.select("id", "th").distinct()
+    repeated = keys.count() < heads.count()
+    if repeated:
+        heads = scratch.table(heads.dropDuplicates(["id", "th"]), "distinct")
+
+    def joined(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("id", "th")) -> DataFrame:
+        """Rows of ``left`` with those of ``right`` whose id (null included) and text hash are the named columns'."""
+        right = right.withColumnsRenamed({"id": "id_", "th": "th_"})
+        return left.join(right, F.col(names[0]).eqNullSafe(F.col("id_")) & (F.col(names[1]) == F.col("th_"))).drop("id_", "th_")
+
+    asked = joined(following(scratch, keys), heads.select("id", "th", "n"))
+    near = joined(asked.select("id", "th", "next_id", "next_th"), heads.select("id", "th", F.col("sketch").alias("next_sketch")), ("next_id", "next_th")).drop("next_id", "next_th")
+    wanted = asked.select(F.col("id").alias("to_id"), F.col("th").alias("to_th"), "n", F.col("next_id").alias("id"), F.col("next_th").alias("th"))
+    fronts = joined(docs, wanted).select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), "n", F.substring("text", F.lit(1), F.floor(F.col("n") / 3).cast("int")).alias("front"))
+    if repeated:
+        fronts = fronts.dropDuplicates(["id", "th"])
+    whole = joined(joined(joined(docs, fronts), heads.select("id", "th", "sketch")), near)
     m = F.floor(F.col("n") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n") - m), F.col("front"))
     out = whole.select("id", F.col("n").cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
