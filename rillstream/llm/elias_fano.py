@@ -148,17 +148,17 @@ class Trie:
         self.backoff, self.probability = backoff, probability
 
     @classmethod
-    def build(cls, context: np.ndarray, successor: np.ndarray, total_of, discount: float) -> Trie:
-        """From the hashes of all pairs, repeated ones repeated. ``total_of(hashes, counts)`` gives the contexts' totals."""
-        own, inverse, counts = np.unique(context, return_inverse=True, return_counts=True)
-        pairs, n = np.unique((inverse.astype(_U) << _U(SUCCESSOR)) | (successor >> _U(64 - SUCCESSOR)), return_counts=True)
-        rank = (pairs >> _U(SUCCESSOR)).astype(np.int64)
-        kinds = np.bincount(rank, minlength=len(own))
-        total = total_of(own, counts)
-        backoff = np.log10(discount * kinds / total) if len(own) else np.empty(0)
-        probability = np.log10((n - discount) / total[rank]) if len(own) else np.empty(0)
+    def of_counts(cls, contexts: np.ndarray, totals: np.ndarray, rank: np.ndarray, successor: np.ndarray, n: np.ndarray, discount: float) -> Trie:
+        """From contexts (hashes, ascending) with their totals, and pairs (context's rank, successor's hash; ascending) with their counts."""
+        pairs = (rank.astype(_U) << _U(SUCCESSOR)) | (successor >> _U(64 - SUCCESSOR))
+        new = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1]))) if len(pairs) else np.empty(0, np.int64)
+        n = np.add.reduceat(n, new) if len(pairs) else n
+        rank, pairs = rank[new], pairs[new]
+        kinds = np.bincount(rank, minlength=len(contexts))
+        backoff = np.log10(discount * kinds / totals) if len(contexts) else np.empty(0)
+        probability = np.log10((n - discount) / totals[rank]) if len(contexts) else np.empty(0)
         pointers = np.concatenate(([0], np.cumsum(kinds)))
-        return cls(EliasFano.build(own >> _ONE), EliasFano.build(pointers), EliasFano.build(pairs), quantise(backoff), quantise(probability))
+        return cls(EliasFano.build(contexts >> _ONE), EliasFano.build(pointers), EliasFano.build(pairs), quantise(backoff), quantise(probability))
 
     def look_up(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank of each context, and whether it is there."""

@@ -25,11 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bound_batches
 from .elias_fano import Trie
 
 #: Pairs that a shard should hold, tokens that a worker packs at a time, and words that it remembers.
-PAIRS, CHUNK, REMEMBERED = 6_000_000, 1_500_000, 400_000
+PAIRS, CHUNK, REMEMBERED = 2_000_000, 1_000_000, 300_000
 DISCOUNT = 0.7
 _U = np.uint64
 
@@ -111,7 +111,7 @@ def pack_pairs(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
             fold = np.array(folds, np.uint8)
             is_hot = hot[np.minimum(np.searchsorted(hot, first), len(hot) - 1)] == first
             shard = (_mixed(np.where(is_hot, first ^ _mixed(second), first)) % _U(shards)).astype(np.int32)
-            order = np.lexsort((doc, first, shard))
+            order = np.lexsort((first, shard))  # stable: documents stay in order
             first, second, doc, shard = first[order], second[order], doc[order], shard[order]
             bounds = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))).tolist() + [len(shard)]
             rows = []
@@ -143,48 +143,53 @@ def pack_pairs(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
 
 
 def score_shard(packed: list[bytes], hot: np.ndarray, hot_count: np.ndarray, discount: float) -> dict[str, np.ndarray]:
-    """All that one shard knows: for each document sums (score, base, known words); unseen pairs; kinds of hot contexts."""
-    firsts, seconds, keys, folds = [], [], [], []
+    """All that one shard knows: for each document sums (score, base, known words, tokens); unseen pairs; kinds of hot contexts."""
+    firsts, seconds, docs, keys, folds, n_docs = [], [], [], [], [], 0
     for data in packed:
         f, n, kinds, which, local, own, fold = _unpack_pairs(data)
         firsts.append(np.repeat(f, n))
         seconds.append(kinds[which])
-        keys.append(own[local])
-        folds.append(fold[local])
-    first, second, key, held_out = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(keys), np.concatenate(folds).astype(bool)
-    del firsts, seconds, keys, folds
-
-    def totals(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
-        return np.where(hot[at] == words, hot_count[at], counts).astype(float)
-
-    train = ~held_out
-    trie = Trie.build(first[train], second[train], totals, discount).mapped()
-    contexts, inverse = np.unique(first, return_inverse=True)
-    rank, known = trie.look_up(contexts)
-    # a context's own count, for the base: it stands as often before another token as it stands at all
-    count = np.zeros(len(contexts))
-    np.add.at(count, inverse[train], 1.0)
-    count = totals(contexts, count)
-    base = np.where(contexts == _U(BEGIN), 0.0, np.log10(count + 1))
-    is_word = contexts != _U(BEGIN)
-
-    value, seen = np.zeros(len(first)), np.zeros(len(first), bool)
-    at = np.flatnonzero(known[inverse])
-    value[at], seen[at] = trie.score(rank[inverse[at]], second[at])
+        docs.append(local.astype(np.int32) + np.int32(n_docs))
+        keys.append(own)
+        folds.append(fold)
+        n_docs += len(own)
+    first, second, doc, key = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(docs), np.concatenate(keys)
+    train_doc = np.concatenate(folds) == 0
+    del firsts, seconds, docs, keys, folds
+    order = np.lexsort((second, first))
+    first, second, doc = first[order], second[order], doc[order]
+    del order
+    train = train_doc[doc]
+
+    # contexts, and the pairs below them
+    new_context = np.concatenate(([True], first[1:] != first[:-1]))
+    pair = np.flatnonzero(new_context | np.concatenate(([True], second[1:] != second[:-1])))
+    context = np.flatnonzero(new_context)
+    contexts, of_pair = first[context], np.cumsum(new_context)[pair] - 1
+    own_count, pair_count = np.add.reduceat(train.astype(np.int64), context), np.add.reduceat(train.astype(np.int64), pair)
     place = np.minimum(np.searchsorted(hot, contexts), len(hot) - 1)
-    hot_at = np.where(hot[place] == contexts, place, -1)
+    is_hot = hot[place] == contexts
+    # a context's own count: it stands as often before another token as it stands at all; a hot one's is spread over shards
+    total = np.where(is_hot, hot_count[place], own_count).astype(float)
+    kept, seen_pair = own_count > 0, pair_count > 0
+    rank = np.cumsum(kept) - 1
+    trie = Trie.of_counts(contexts[kept], total[kept], rank[of_pair[seen_pair]], second[pair[seen_pair]], pair_count[seen_pair], discount).mapped()
+
+    found_rank, known = trie.look_up(contexts)
+    value, seen = np.zeros(len(pair)), np.zeros(len(pair), bool)
+    at = np.flatnonzero(known[of_pair])
+    value[at], seen[at] = trie.score(found_rank[of_pair[at]], second[pair[at]])
     # the weight that a hot context leaves is known only when the kinds of all its shards are added up
-    value[~seen & (hot_at[inverse] >= 0)] = 0.0
-    docs, doc = np.unique(key, return_inverse=True)
-    out = {"key": docs}
-    for name, v in (("score", value), ("base", base[inverse]), ("known", ((count > 0) & is_word)[inverse]), ("tokens", None)):
-        out[name] = np.bincount(doc, v, len(docs))
-    un = np.flatnonzero(~seen)
-    out |= {"un_key": key[un], "un_word": second[un], "un_hot": hot_at[inverse[un]]}
-    mine = np.flatnonzero((hot_at >= 0) & known)
-    out |= {"hot": hot_at[mine], "kinds": trie.kinds(rank[mine])}
-    return out
+    value[~seen & is_hot[of_pair]] = 0.0
+    word = contexts != _U(BEGIN)
+    times = np.diff(np.append(pair, len(first)))
+    each = {"score": value, "base": np.where(word, np.log10(total + 1), 0.0)[of_pair], "known": ((total > 0) & word)[of_pair].astype(float)}
+    out = {"key": key} | {name: np.bincount(doc, np.repeat(v, times), n_docs) for name, v in each.items()}
+    out["tokens"] = np.bincount(doc, minlength=n_docs)
+    un = np.flatnonzero(np.repeat(~seen, times))
+    out |= {"un_key": key[doc[un]], "un_word": second[un], "un_hot": np.repeat(np.where(is_hot, place, -1)[of_pair], times)[un]}
+    mine = np.flatnonzero(is_hot & known)
+    return out | {"hot": place[mine], "kinds": trie.kinds(found_rank[mine])}
 
 
 def _unpack_pairs(data: bytes) -> list[np.ndarray]:
@@ -206,6 +211,7 @@ def lm_scores(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_c
     text) all train and get the same scores. Without training rows every probability is the base's. An empty table gives an empty table. Words are
     told apart by 64-bit hashes, a context's successors by 40 bits.
     """
+    bound_batches(df.sparkSession)
     scratch = Scratch(spark, "lm")
     text = F.coalesce(F.col(text_col), F.lit(""))
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod == held

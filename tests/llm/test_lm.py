@@ -90,7 +90,9 @@ def test_trie_is_compact_and_mapped():
     rng = np.random.default_rng(5)
     words = rng.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2)
     a, b = rng.choice(words, 20000), rng.choice(words, 20000)
-    trie = Trie.build(a, b, lambda _, n: n.astype(float), 0.7)
+    own, inverse, counts = np.unique(a, return_inverse=True, return_counts=True)
+    both, n = np.unique(np.stack([inverse.astype(np.uint64), b]), axis=1, return_counts=True)
+    trie = Trie.of_counts(own, counts.astype(float), both[0].astype(np.int64), both[1], n, 0.7)
     rank, found = trie.mapped().look_up(a)
     assert found.all()
     value, seen = trie.mapped().score(rank, b)
