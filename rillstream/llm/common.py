@@ -4,6 +4,7 @@ a connected-components solver, and UTF-8 helpers."""
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -25,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return here.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of an Arrow batch that goes to a Python worker, where the session has Spark's own 10000: texts can be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -49,9 +57,18 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def small(self, df: DataFrame, name: str, rows: int) -> DataFrame:
+        """A table of about so many narrow rows, in as few files as hold a million each."""
+        return self.table(df.coalesce(max(1, -(-rows // 1_000_000))), name)
+
     def drop(self, name: str) -> None:
         _delete(self.spark, self.path(name))
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of plans that are no longer used; it does so when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def close(self) -> None:
         if self.spark.sparkContext._jsc is not None and self.spark.sparkContext._gateway is not None:
             try:
@@ -68,9 +85,8 @@ def components(scratch: Scratch, links: DataFrame, name: str = "cc", rounds: int
     most the links that are left, pre-aggregates its minimum per node, and needs about log(n) rounds; no
     step collects links or nodes to the driver.
     """
-    edges = scratch.table(
-        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0"
-    )
+    rows = links.count()
+    edges = scratch.small(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0", rows)
     seen = None
     for k in range(1, rounds + 1):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -85,13 +101,13 @@ def components(scratch: Scratch, links: DataFrame, name: str = "cc", rounds: int
             .where("a <> b")
             .distinct()
         )
-        edges_next = scratch.table(small, f"{name}-{k}")
+        edges_next = scratch.small(small, f"{name}-{k}", rows)
         state = edges_next.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         scratch.drop(f"{name}-{k - 1}")
         edges = edges_next
         if seen == tuple(state):
             break
-        seen = tuple(state)
+        seen, rows = tuple(state), state.n
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

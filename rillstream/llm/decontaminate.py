@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: A-Z are lowered, and all but 0-9, a-z and bytes of other characters become spaces.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 #: Words of benchmark items in one automaton; a larger benchmark is taken in blocks of this size, a pass each.
@@ -219,6 +221,7 @@ def contamination(
     words has no window. Repeated documents are judged one by one; repeated item ids count once. Without items nothing
     is hit. Spans are word positions, first and behind the last.
     """
+    bound_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,6 +261,7 @@ def decontaminate(
     window is left; a document of whose words more than ``coverage`` are hit goes as a whole. Clean documents,
     empty and null texts stay as they are. ``n_chars_col``, if there, is set anew where a text is cut.
     """
+    bound_batches(df.sparkSession)
     for automaton in blocks(benchmark, item_col, item_text_col, window):
         sent = spark.sparkContext.broadcast(automaton)
 

@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 MARK = "▁"
 #: Lattice nodes and words that a worker remembers, the longest part among them (a longer one is walked by itself), and the longest whose sums need no scaling.
 NODES, WORDS, LONGEST, SHORT = 4_000_000, 700_000, 256, 40
@@ -415,6 +417,7 @@ def sampled_pieces(df: DataFrame, model_file: str, seed: int = 17, theta: float
                 )
                 at = stop
 
+    bound_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(encode, f"id {kind}, n_pieces long, pieces array<int>, decoded_sha256 string, lossless boolean")
     return out.withColumnRenamed("id", id_col)

@@ -18,6 +18,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 MARK = "▁"
 #: Distinct pre-tokens that a worker remembers, and the longest one that it keeps.
 REMEMBERED, LONGEST = 400_000, 64
@@ -126,6 +128,7 @@ def token_counts(df: DataFrame, model_file: str, id_col: str = "doc_id", text_co
             n = [c.count(t) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
+    bound_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"))
     out = rows.mapInArrow(count, f"id {id_type}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

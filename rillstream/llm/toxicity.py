@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .decontaminate import _WORDS
 
 #: Hash slots; labelled rows of each class that a fit takes at most; features and the least chi-square of one.
@@ -121,6 +122,7 @@ def sample(labels: DataFrame, mod: int = 5, most: int = SAMPLE, id_col: str = "d
 
 def fit(spark: SparkSession, df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = SAMPLE) -> Machine:
     """Learn from at most ``2 * most`` labelled rows. What comes to the driver is bounded: counts of ``SLOTS`` slots, and the features of the sample."""
+    bound_batches(df.sparkSession)
     # at most 2 * most rows of two numbers: a broadcast of proven size
     chosen = spark.createDataFrame(sample(labels, most=most, label_col=label_col).collect(), f"id {labels.schema['doc_id'].dataType.simpleString()}, y int")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y")
@@ -164,6 +166,7 @@ def toxicity(spark: SparkSession, df: DataFrame, machine: Machine, id_col: str =
     Scores read the whole text and nothing else; a null or empty text gets the bias. A null id counts as the
     empty string for ``held_out``. Repeated rows score alike. One narrow pass with a broadcast machine of at most ``FEATURES`` features.
     """
+    bound_batches(df.sparkSession)
     sent = spark.sparkContext.broadcast(machine)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
