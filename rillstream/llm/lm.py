@@ -29,7 +29,7 @@ from .common import Scratch, bound_batches
 from .elias_fano import Trie
 
 #: Pairs that a shard should hold, tokens that a worker packs at a time, and words that it remembers.
-PAIRS, CHUNK, REMEMBERED = 2_000_000, 1_000_000, 300_000
+PAIRS, CHUNK, REMEMBERED = 2_000_000, 1_000_000, 150_000
 DISCOUNT = 0.7
 _U = np.uint64
 

@@ -22,7 +22,7 @@ from .common import bound_batches
 
 MARK = "▁"
 #: Distinct pre-tokens that a worker remembers, and the longest one that it keeps.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 
 
 class _Counts(dict):

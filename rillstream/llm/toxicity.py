@@ -22,7 +22,7 @@ from .decontaminate import _WORDS
 #: Hash slots; labelled rows of each class that a fit takes at most; features and the least chi-square of one.
 SLOTS, SAMPLE, FEATURES, CHI2 = 1 << 18, 6000, 4096, 25.0
 #: Distinct words that a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def terms(word: bytes) -> list[int]:
