@@ -308,7 +308,6 @@ TRADE = """trade AS (
     SELECT cn.n_name AS src, sn.n_name AS dst, 1024 + l_linenumber AS port, l_extendedprice AS price, CAST(epoch_us(o_orderdate) AS BIGINT) AS us
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
         JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey
-    WHERE l_orderkey % 40 = 0
 )"""
 
 OTHERS["conn_basic"] = f"""WITH {TRADE}, edges AS (SELECT src, dst, count(*) AS n FROM trade GROUP BY src, dst),
@@ -318,7 +317,7 @@ SELECT src, dst, CAST(e.n AS BIGINT) AS conn_src_dst_flows, CAST(o.nodes AS BIGI
     CAST(i.flows AS BIGINT) AS conn_dst_total_flows, CAST(o.bytes AS BIGINT) AS conn_src_total_bytes, CAST(i.bytes AS BIGINT) AS conn_dst_total_bytes, CAST(o.ports AS BIGINT) AS conn_src_unique_ports
 FROM edges e JOIN outs o USING (src) JOIN ins i USING (dst)"""
 
-OTHERS["conn_clustering"] = f"""WITH {TRADE}, few AS (SELECT DISTINCT src, dst FROM trade WHERE port = 1030 AND src <> dst),
+OTHERS["conn_clustering"] = """WITH few AS (SELECT DISTINCT CAST(a.o_custkey AS VARCHAR) AS src, CAST(b.o_custkey AS VARCHAR) AS dst FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey <> b.o_custkey),
 und AS (SELECT src AS a, dst AS b FROM few UNION SELECT dst, src FROM few),
 deg AS (SELECT a, count(*) AS k FROM und GROUP BY a),
 tri AS (SELECT x.a, count(*) AS t FROM und x JOIN und y ON x.b = y.a JOIN und z ON y.b = z.b AND z.a = x.a WHERE x.b <> y.b GROUP BY x.a)
@@ -351,6 +350,11 @@ SELECT {SHOWN_KEYS}, CAST(sum(total_len) AS BIGINT) AS total_total_bytes, CAST(c
 OTHERS["conversation_directions"] = """SELECT CAST(conv_id AS VARCHAR) AS file_id, count(*) AS total_packets, CAST(sum(strlen(text) + 40) AS BIGINT) AS total_bytes, round(stddev_pop(strlen(text)), 3) AS payload_len_std
 FROM conversations GROUP BY conv_id"""
 
+OTHERS["label_sessions"] = f"""WITH {SESSIONS},
+flows AS (SELECT arg_min(src_ip, pos) AS src, arg_min(dst_ip, pos) AS dst FROM s GROUP BY {KEYS}),
+users AS (SELECT DISTINCT src_ip AS u, dst_ip AS v FROM packets WHERE src_ip LIKE 'u%' AND dst_port = 443)
+SELECT label, count(*) AS n FROM (SELECT coalesce('of ' || a.u, 'of ' || b.u, 'unknown') AS label FROM flows f LEFT JOIN users a ON a.u = f.src AND a.v = f.dst LEFT JOIN users b ON b.u = f.dst AND b.v = f.src) GROUP BY label"""
+
 
 def all_sql() -> dict[str, str]:
     return {name: session_query(name) for name in FEATURES} | OTHERS

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import columns as C
 from ..functions.parsers import entropy_facts
-from ..operators.graph import clustering, connection_features, temporal
-from ..operators.labels import label_counts, lookup
+from ..operators.graph import betweenness, clustering, communities, connection_features, temporal
+from ..operators.labels import label_counts, label_sessions, lookup
 from ..operators.sessionize import sessionize
+from ..operators.sinks import flat, messages
 from ..sources import adapters
 from .extract import extract
 from .oracle import FEATURES
@@ -102,7 +103,7 @@ def rtt_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as sessions between nations: ``file_id, src, dst, service, packets, bytes, start_us, end_us``."""
-    lines = read(spark, sf_dir, "lineitem").where("l_orderkey % 40 = 0").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     nation = read(spark, sf_dir, "nation")
     both = lines.join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(read(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     both = both.join(nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("src")), "c_nationkey").join(nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("dst")), "s_nationkey")
@@ -119,7 +120,11 @@ def conn_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conn_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = trade(spark, sf_dir).where("service = 1030").select("file_id", "src", "dst").distinct()
+    """Customers of orders that follow one another by key."""
+    orders = read(spark, sf_dir, "orders")
+    here = orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("string").alias("src"))
+    after = orders.select((F.col("o_orderkey") - 1).alias("k"), F.col("o_custkey").cast("string").alias("dst"))
+    edges = here.join(after, "k").select(F.lit("").alias("file_id"), "src", "dst").distinct()
     return clustering(edges).select("node", F.round("clustering", 6).alias("clustering"))
 
 
@@ -170,6 +175,48 @@ def conversation_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select(F.col("_file_id").alias("file_id"), shown("i", "total_packets"), shown("i", "total_bytes"), shown("f3", "payload_len_std"))
 
 
+def closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessionised stream itself, for callers that bring their own aggregates."""
+    return sessionize(packets(spark, sf_dir), Config(flow_timeout=TIMEOUT))
+
+
+def conn_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = trade(spark, sf_dir).select("file_id", "src", "dst").distinct()
+    return betweenness(edges).select("node", F.round("betweenness", 9).alias("betweenness"))
+
+
+def conn_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = trade(spark, sf_dir).select("file_id", "src", "dst").distinct()
+    return communities(edges).select("node", F.col("community").cast("long").alias("community"))
+
+
+def seq_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps and late packets, folded over each direction's sequence numbers."""
+    wide = extract(packets(spark, sf_dir), Config(flow_timeout=TIMEOUT, groups=("tcp_sequence",)), keep_keys=True)
+    return wide.select(*key_columns(), *(shown("i", f"tcp_seq_{d}_{n}") for d in ("fwd", "bwd") for n in ("gaps", "ooo")))
+
+
+def entropy_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropy and byte classes of the first bytes that each side of a conversation says."""
+    p = adapters.conversations(spark, read(spark, sf_dir, "conversations"))
+    wide = extract(p, Config(flow_timeout=1e9, terminate_on_fin_rst=False, groups=("entropy",)), keep_keys=True)
+    names = ("entropy_payload", "entropy_initiator", "entropy_responder", "printable_ratio", "high_byte_ratio", "byte_distribution_uniformity")
+    return wide.select(F.col("_file_id").alias("file_id"), *(shown("f6", n) for n in names), shown("i", "payload_bytes_sampled"))
+
+
+def sink_json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a topic would get: a session's key, and its features as JSON."""
+    wide = extract(packets(spark, sf_dir), Config(flow_timeout=TIMEOUT, groups=("flow_meta", "timing"), include_splt=True))
+    return messages(flat(wide), "src_ip")
+
+
+def label_sessions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions labelled by their endpoints, in either direction, from labels of the users of one service."""
+    wide = extract(packets(spark, sf_dir), Config(flow_timeout=TIMEOUT, groups=("flow_meta",)))
+    users = packets(spark, sf_dir).where("src_ip LIKE 'u%' AND dst_port = 443").select("src_ip", "dst_ip").distinct()
+    return label_sessions(wide, users.withColumn("label", F.concat(F.lit("of "), F.col("src_ip")))).groupBy("label").agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: session_features(name) for name in FEATURES} | {
     "splt_exploded": splt_exploded,
     "protocol_histogram": protocol_histogram,
@@ -184,9 +231,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: session_fe
     "profile_projection": profile_projection,
     "bidir_split": bidir_split,
     "conversation_directions": conversation_directions,
+    "conn_betweenness": conn_betweenness,
+    "conn_communities": conn_communities,
+    "seq_fold": seq_fold,
+    "entropy_flows": entropy_flows,
+    "sink_json_rows": sink_json_rows,
+    "label_sessions": label_sessions_query,
 }
-
-
-def closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sessionised stream itself, for callers that bring their own aggregates."""
-    return sessionize(packets(spark, sf_dir), Config(flow_timeout=TIMEOUT))
