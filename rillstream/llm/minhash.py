@@ -3,12 +3,13 @@
 1. One pass over the texts gives each document the size and a 128-bit key of its shingle set, keys of its bands (of whole
    minima) and its signature: the low two bits of every minimum, packed into longs.
 2. Documents of one set key form a class; from here on only its smallest id is worked with.
-3. In every band bucket the members are paired with the smallest one, not with one another. Pairs whose similarity, estimated
-   from the signatures by bit counts and corrected for chance collisions, can't reach the threshold go; the rest is
-   confirmed on the full sets.
-4. Buckets whose members are then all connected are done. In the others, members outside the hub's component meet the members
-   of other components. Where many are outside, the bucket is first split by each of the other bands, through which a
-   similar pair passes as surely as through the first ones.
+3. In every band bucket the members are paired with the smallest one, the hub, not with one another. Similarity is estimated from the
+   signatures by bit counts, corrected for chance collisions; pairs that may reach the threshold are confirmed on the full sets.
+4. Members that are near some hub form clusters. In a small one all that are in different components meet; a large one is told by how its
+   members differ from the most typical one, and those that are no links of it meet others through an index of the rarest
+   differences, which loses no link (see ``_strays``). Members far from their hub are no link of the hub's own links, by the
+   triangle inequality, and meet those whose distance to the hub is not too different. Where many are far, the bucket is first
+   split by each of the other bands, through which a similar pair passes as surely as through the first ones.
 5. Connected components of the confirmed links give the groups.
 
 Bands are chosen so that a pair at the threshold shares no bucket with a probability under ``MISS``.
@@ -24,18 +25,21 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, bound_batches, components, tidy
 
 #: Hash functions, kept bits of each minimum, and the chance to miss a pair at the threshold.
 HASHES, BITS, MISS = 256, 2, 1e-8
-#: Members outside the hub's component that a bucket's members meet directly; a bucket with more is split first.
-OUTSIDE = 64
+#: Estimated similarity to the hub from which a member counts as near; far members of a bucket that its others meet directly (a bucket
+#: with more is split first, ``DEPTH`` times at most); ids up to which a selection of texts is broadcast.
+NEAR, OUTSIDE, DEPTH, BROADCAST_IDS = 0.45, 64, 3, 1_000_000
 #: Standard deviations that an estimate may lie under the threshold before the pair goes.
 SIGMAS = 6.0
-REMEMBERED = 500_000
+#: Largest standard deviation of an estimate.
+SIGMA = 2 / 3 / HASHES**0.5
+REMEMBERED = 100_000
 
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -160,10 +164,14 @@ class _Groups:
                     sig.append(signature(least))
                 yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(key, pa.binary()), _lists(band), _lists(sig)], ["id", "n", "key", "bands", "sig"])
 
-        return self.docs.mapInArrow(sketch, f"id {self.kind}, n long, key binary, bands array<long>, sig array<long>")
+        return self.docs.mapInArrow(tidy(sketch), f"id {self.kind}, n long, key binary, bands array<long>, sig array<long>")
 
-    def sets(self, nodes: DataFrame) -> DataFrame:
-        """Full sets of the documents whose ids are ``nodes.id``."""
+    def pick(self, df: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Rows of ``df`` whose id is among ``nodes``: by a broadcast where that is small, checked by a count, else by a shuffle."""
+        return df.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "id", "left_semi")
+
+    def sets(self, nodes: DataFrame, name: str) -> DataFrame:
+        """Full sets of the documents whose ids are ``nodes.id``, as the table ``name``."""
         size = self.size
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,80 +180,179 @@ class _Groups:
                 for at in range(0, len(texts), 64):  # sets are larger than texts
                     yield pa.RecordBatch.from_arrays([ids[at : at + 64], _lists([shingles(t, size) for t in texts[at : at + 64]])], ["id", "s"])
 
-        return self.docs.join(nodes, "id", "left_semi").mapInArrow(make, f"id {self.kind}, s array<long>")
+        nodes = self.scratch.table(nodes.distinct(), f"{name}-ids")
+        return self.scratch.table(self.pick(self.docs, nodes).mapInArrow(tidy(make), f"id {self.kind}, s array<long>"), name)
+
+    def is_link(self, sizes: Column, both: Column) -> Column:
+        return both * self.threshold.denominator >= (sizes - both) * self.threshold.numerator
 
     def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs ``a, b`` that are links: estimated first, then on full sets. Also writes ``<name>-pairs``, what was tried."""
-        sig = self.classes.select("rep", "sig")
-        tried = self.scratch.table(
-            pairs.join(sig.toDF("a", "sig_a"), "a")
-            .join(sig.toDF("b", "sig_b"), "b")
-            .where(similarity(F.col("sig_a"), F.col("sig_b")) >= least_estimate(float(self.threshold)))
-            .select("a", "b")
-            .distinct(),
-            f"{name}-pairs",
-        )
-        nodes = tried.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = self.scratch.table(self.sets(nodes), f"{name}-sets")
-        both = F.size(F.array_intersect("s_a", "s_b"))
+        """Those of the pairs ``a, b`` that are links, on full sets."""
+        pairs = self.scratch.table(pairs.distinct(), f"{name}-pairs")
+        if pairs.isEmpty():
+            return pairs
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), f"{name}-sets")
+        both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
         links = (
-            tried.join(sets.toDF("a", "s_a"), "a")
+            pairs.join(sets.toDF("a", "s_a"), "a")
             .join(sets.toDF("b", "s_b"), "b")
-            .select("a", "b", (F.size("s_a") + F.size("s_b")).cast("long").alias("sizes"), both.cast("long").alias("both"))
-            .where(F.col("both") * self.threshold.denominator >= (F.col("sizes") - F.col("both")) * self.threshold.numerator)
+            .select("a", "b", (F.size("s_a") + F.size("s_b")).cast("long").alias("sizes"), both.alias("both"))
+            .where(self.is_link(F.col("sizes"), F.col("both")))
             .select("a", "b")
         )
         links = self.scratch.table(links, f"{name}-links")
         self.scratch.drop(f"{name}-sets")
         return links
 
+    def estimated(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs ``a, b`` with ``est``, their estimated similarity."""
+        sig = self.classes.select("rep", "sig")
+        both = pairs.distinct().join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
+        return both.select("a", "b", similarity(F.col("sig_a"), F.col("sig_b")).alias("est"))
+
     def labelled(self, links: DataFrame, name: str) -> DataFrame:
         return components(self.scratch, links, name).select(F.col("node").alias("rep"), "root")
 
-    def groups(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    def groups(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Sketches, classes (key, rep) and components (rep, root; none where nothing is linked)."""
         sketches = self.scratch.table(self.sketch(), "sketches")
         known = sketches.where("n > 0 AND id IS NOT NULL")
         self.classes = self.scratch.table(known.groupBy("key").agg(F.min("id").alias("rep"), F.min_by(F.struct("bands", "sig"), "id").alias("x")).select("key", "rep", "x.*"), "classes")
         buckets = self.classes.select("rep", F.explode("bands").alias("bucket"))
-        shared = self._shared(buckets)
-        shared = self.scratch.table(shared, "shared")
-        # a member's smallest hub first: in a group of copies that is one pair for each copy
-        first = shared.where("rep <> hub").groupBy(F.col("rep").alias("a")).agg(F.min("hub").alias("b"))
-        links = self.confirm(first, "first")
-        roots = self.labelled(links, "first-cc")
-        links = self._rest(shared, roots, links)
-        return sketches, self.classes.select("key", "rep"), self.labelled(links, "cc")
+        shared, links, roots = self.scratch.table(self._shared(buckets), "shared-0"), None, None
+        for depth in range(DEPTH + 1):
+            links, roots, large = self._level(shared, links, roots, depth)
+            if large is None:
+                break
+            bands = self.classes.select("rep", "bands")
+            finer = large.join(bands, "rep").select("rep", "bucket", F.explode("bands").alias("band")).where("band <> bucket")
+            finer = finer.select("rep", F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band")).alias("bucket")).distinct()
+            shared = self.scratch.table(self._shared(finer), f"shared-{depth + 1}")
+        return sketches, self.classes.select("key", "rep"), roots
 
     def _shared(self, buckets: DataFrame) -> DataFrame:
         """``bucket, rep, hub`` of buckets with several members. The smallest member is pre-aggregated; a hot bucket's rows meet it in a join that Spark can split."""
         hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
         return buckets.join(hubs, "bucket")
 
-    def _rest(self, shared: DataFrame, roots: DataFrame, links: DataFrame) -> DataFrame:
-        """Links across the components that still meet in some bucket."""
-        depth, tried = 0, self.spark.read.parquet(self.scratch.path("first-pairs"))
-        while True:
-            root = roots.select("rep", "root")
-            at = shared.join(root, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-            hub = root.toDF("hub", "hub_root")
-            at = at.join(hub, "hub", "left").withColumn("hub_root", F.coalesce("hub_root", "hub"))
-            # members in all, and outside the hub's component
-            open_ = at.groupBy("bucket").agg(F.count("*").alias("n"), F.sum((F.col("root") != F.col("hub_root")).cast("int")).alias("outside")).where("outside > 0")
-            at = self.scratch.table(at.join(open_, "bucket"), f"open-{depth}")
-            direct = at.where((F.col("outside") <= OUTSIDE) | F.lit(depth >= 3))
-            out, all_ = direct.where("root <> hub_root").select("bucket", F.col("rep").alias("x"), F.col("root").alias("x_root")), direct.select("bucket", F.col("rep").alias("y"), F.col("root").alias("y_root"))
-            pairs = out.join(all_, "bucket").where("x_root <> y_root").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-            more = self.confirm(pairs.join(tried, ["a", "b"], "left_anti"), f"rest-{depth}")
-            links = self.scratch.table(links.unionByName(more), f"links-{depth}")
-            large = at.where(F.col("outside") > OUTSIDE).select("bucket", "rep") if depth < 3 else None
-            if large is None or large.isEmpty():
-                return links
-            roots = self.labelled(links, f"rest-cc-{depth}")
-            bands = self.classes.select("rep", "bands")
-            finer = large.join(bands, "rep").select("rep", "bucket", F.explode("bands").alias("band")).where("band <> bucket").select("rep", F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band")).alias("bucket"))
-            depth += 1
-            shared = self.scratch.table(self._shared(finer.distinct()), f"shared-{depth}")
+    def _rooted(self, pairs: DataFrame, roots: DataFrame | None, *names: str) -> DataFrame:
+        """Adds ``root_<name>`` for columns that hold documents: their component so far."""
+        for n in names:
+            if roots is None:
+                pairs = pairs.withColumn(f"root_{n}", F.col(n))
+            else:
+                pairs = pairs.join(roots.toDF(n, f"root_{n}"), n, "left").withColumn(f"root_{n}", F.coalesce(f"root_{n}", n))
+        return pairs
+
+    def _add(self, links: DataFrame | None, roots: DataFrame | None, more: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        if links is not None and more.isEmpty():
+            return links, roots
+        links = more if links is None else links.unionByName(more)
+        links = self.scratch.small(links, f"links-{name}", links.count())
+        roots = self.labelled(links, f"cc-{name}")
+        self.scratch.release()
+        return links, roots
+
+    def _level(self, shared: DataFrame, links: DataFrame | None, roots: DataFrame | None, depth: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """All links of the pairs in these buckets, but for pairs of large buckets that are returned to be split."""
+        cut, tag = least_estimate(float(self.threshold)), str(depth)
+        est = self.scratch.table(self.estimated(shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))), f"est-{tag}")
+
+        # a member and its smallest likely hub first: for most copies that is one pair in all
+        likely = est.where(F.col("est") >= cut)
+        apart = self._rooted(likely, roots, "a", "b").where("root_a <> root_b")
+        links, roots = self._add(links, roots, self.confirm(apart.groupBy("a").agg(F.min("b").alias("b")), f"first-{tag}"), f"first-{tag}")
+
+        # clusters of near members and hubs: small ones meet directly, a large one around its most typical member
+        near = est.where(F.col("est") >= NEAR)
+        cluster = components(self.scratch, near.select("a", "b"), f"near-cc-{tag}").toDF("rep", "cluster")
+        cluster = cluster.unionByName(cluster.select(F.col("cluster").alias("rep"), "cluster").distinct())
+        score = est.select("a", "est").unionByName(est.select(F.col("b").alias("a"), "est")).groupBy(F.col("a").alias("rep")).agg((F.sum("est") / (F.count("est") + 1)).alias("score"))
+        sized = cluster.join(score, "rep").groupBy("cluster").agg(F.count("*").alias("size"), F.max_by("rep", F.struct("score", "rep")).alias("center"))
+        cluster = self.scratch.table(cluster.join(sized, "cluster"), f"clusters-{tag}")
+        open_ = self._rooted(cluster, roots, "rep").withColumnRenamed("root_rep", "root")
+        mixed = open_.groupBy("cluster").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cluster")
+        open_ = self.scratch.table(open_.join(mixed, "cluster", "left_semi"), f"mixed-{tag}")
+        small = open_.where(F.col("size") <= OUTSIDE)
+        x, y = (small.select("cluster", F.col("rep").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b"))
+        pairs = x.join(y, "cluster").where("a > b AND root_a <> root_b").select("a", "b")
+        large = self._centered(open_.where(F.col("size") > OUTSIDE), tag)
+        about = large.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b"))
+        again = self.estimated(pairs.unionByName(about)).where(F.col("est") >= cut).select("a", "b").unionByName(likely.select("a", "b"))
+        again = self._rooted(again, roots, "a", "b").where("root_a <> root_b").select("a", "b")
+        links, roots = self._add(links, roots, self.confirm(again, f"again-{tag}"), f"again-{tag}")
+        links, roots = self._add(links, roots, self._strays(large.where("rep <> center"), roots, f"near-{tag}"), f"strays-{tag}")
+
+        far = shared.join(est.toDF("rep", "hub", "est"), ["rep", "hub"], "left").withColumn("est", F.coalesce("est", F.lit(1.0)))
+        far = self._rooted(far, roots, "rep").withColumn("far", F.col("est") < NEAR)
+        some = far.where("far").groupBy("bucket").agg(F.count("*").alias("n_far"), F.max("est").alias("most"))
+        reach = 1 - float(self.threshold) + SIGMAS * 2**0.5 * SIGMA
+        far = far.join(some, "bucket").where(F.col("est") <= F.col("most") + reach)
+        mixed = far.groupBy("bucket").agg(F.min("root_rep").alias("lo"), F.max("root_rep").alias("hi")).where("lo <> hi").select("bucket")
+        far = self.scratch.table(far.join(mixed, "bucket", "left_semi"), f"far-{tag}")
+        small = far.where((F.col("n_far") <= OUTSIDE) | F.lit(depth == DEPTH))
+        x = small.where("far").select("bucket", F.col("rep").alias("x"), F.col("root_rep").alias("x_root"), F.col("est").alias("x_est"))
+        y = small.select("bucket", F.col("rep").alias("y"), F.col("root_rep").alias("y_root"), F.col("est").alias("y_est"))
+        pairs = x.join(y, "bucket").where((F.col("x_root") != F.col("y_root")) & (F.abs(F.col("x_est") - F.col("y_est")) <= reach))
+        pairs = self.estimated(pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).where(F.col("est") >= cut).select("a", "b")
+        links, roots = self._add(links, roots, self.confirm(pairs, f"far-c-{tag}"), f"far-{tag}")
+        large = far.where(F.col("n_far") > OUTSIDE).select("bucket", "rep")
+        return links, roots, None if depth == DEPTH or large.isEmpty() else large
+
+    def _centered(self, members: DataFrame, tag: str) -> DataFrame:
+        """``rep, center`` of large clusters (``cluster, rep, size, center``): the member that is most like what more than half of them hold."""
+        members = self.scratch.table(members.select("cluster", "rep", "size", F.col("center").alias("first")), f"large-{tag}")
+        if members.isEmpty():
+            return members.select("rep", F.col("first").alias("center"))
+        sets = self.sets(members.select(F.col("rep").alias("id")), f"large-sets-{tag}").toDF("rep", "s")
+        each = members.join(sets, "rep").select("cluster", "rep", "size", F.size("s").alias("n"), F.explode("s").alias("v"))
+        most = each.groupBy("cluster", "v").agg(F.count("*").alias("often"), F.first("size").alias("size")).where("2 * often > size").select("cluster", "v")
+        held = each.join(most, ["cluster", "v"]).groupBy("cluster", "rep", "n").agg(F.count("*").alias("both"))
+        held = held.join(most.groupBy("cluster").agg(F.count("*").alias("m")), "cluster").withColumn("like", F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
+        centers = held.groupBy("cluster").agg(F.max_by("rep", F.struct("like", "rep")).alias("center"))
+        return self.scratch.table(members.join(centers, "cluster", "left").select("rep", F.coalesce("center", "first").alias("center")), f"centered-{tag}")
+
+    def _strays(self, members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+        """Links between members of large clusters (``rep, center``) that are in different components.
+
+        A member is told by what it lacks of the center's set, and what it has besides: ``D``. Of a stray ``x``, which is no link of
+        the center, and any other member ``y`` the sets' common size follows from the size of ``D(x)`` and ``D(y)`` together, and a link needs
+        more of ``D(y)`` in common than ``(1 - c) * lacking + c * besides``, with ``c = t / (1 + t)``. So some common element is among the rarest of
+        ``D(y)``, as many as leave no more than that outside: an index of those, looked up with the whole of ``D(x)``, loses no link,
+        and copies that differ from the center in words of their own never meet.
+        """
+        num, den = self.threshold.numerator, self.threshold.denominator
+        near = self._rooted(members, roots, "rep", "center").select("rep", "center", F.col("root_rep").alias("root"), (F.col("root_rep") != F.col("root_center")).alias("stray"))
+        near = self.scratch.table(near.join(near.where("stray").select("center").distinct(), "center", "left_semi"), name)
+        if near.isEmpty():
+            return near.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+        sets = self.sets(near.select(F.explode(F.array("rep", "center")).alias("id")), f"{name}-sets")
+        both = near.join(sets.toDF("rep", "s"), "rep").join(sets.toDF("center", "s_center"), "center")
+        lacking, besides = F.array_except("s_center", "s"), F.array_except("s", "s_center")
+        lacks = F.transform(lacking, lambda v: v.bitwiseXOR(F.lit(0x5DEECE66D1234567)))
+        diff = self.scratch.table(both.select("rep", "center", "root", "stray", F.size("s_center").cast("long").alias("n_center"), F.size(lacking).cast("long").alias("lacking"), F.size(besides).cast("long").alias("besides"), F.concat(lacks, besides).alias("d")), f"{name}-d")
+        self.scratch.drop(f"{name}-sets")
+        outside = F.floor((F.col("lacking") * den + F.col("besides") * num) / (den + num))
+        each = diff.select("center", "rep", "root", "stray", (F.size("d") - outside).alias("keep"), F.explode("d").alias("v"))
+        often = each.groupBy("center", "v").agg(F.count("*").alias("f")).where("f > 1")
+        # an element of one member alone comes first in its order, and meets nothing: only its number counts
+        alone = F.col("lacking") + F.col("besides") - F.count("*").over(Window.partitionBy("center", "rep"))
+        size = F.col("n_center") - F.col("lacking") + F.col("besides")
+        like = (F.col("n_center") - F.col("lacking")) / (F.col("n_center") + F.col("besides")).cast("double")
+        shared = each.join(often, ["center", "v"]).join(diff.select("center", "rep", "lacking", "besides", size.alias("size"), like.alias("like")), ["center", "rep"])
+        place = F.row_number().over(Window.partitionBy("center", "rep").orderBy("f", "v"))
+        shared = self.scratch.table(shared.select("center", "rep", "root", "stray", "v", "size", "like", (place + alone <= F.col("keep")).alias("indexed")), f"{name}-each")
+        index = shared.where("indexed").select("center", "v", F.col("rep").alias("y"), F.col("root").alias("y_root"), F.col("size").alias("y_size"), F.col("like").alias("y_like"))
+        probe = shared.where("stray").select("center", "v", F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"), F.col("like").alias("x_like"))
+        # links are of like size, and by the triangle inequality of like distance to the center
+        fits = (F.least("x_size", "y_size") * den >= F.greatest("x_size", "y_size") * num) & (F.abs(F.col("x_like") - F.col("y_like")) <= 1 - num / den + 1e-9)
+        met = probe.join(index, ["center", "v"]).where((F.col("x_root") != F.col("y_root")) & fits).select("center", "x", "y").distinct()
+        part = diff.select("center", "rep", "n_center", "lacking", "besides", "d")
+        xs, ys = (part.select("center", F.col("rep").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("n_center", "lacking", "besides", "d"))) for c in ("x", "y"))
+        n = lambda c: F.col(f"n_center_{c}") - F.col(f"lacking_{c}") + F.col(f"besides_{c}")
+        common = F.col("n_center_x") - F.col("lacking_x") - F.col("lacking_y") + F.size(F.array_intersect("d_x", "d_y"))
+        found = met.join(xs, ["center", "x"]).join(ys, ["center", "y"]).where(self.is_link(n("x") + n("y"), common))
+        return self.scratch.table(found.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), f"{name}-links")
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,6 +365,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, size: int = 5, threshold
     a null component. Rows that share an id count as one document linked with all of whose texts are similar;
     identical rows get identical results. An empty table gives an empty table; other columns are not read.
     """
+    bound_batches(df.sparkSession)
     run = _Groups(spark, df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), size, Fraction(threshold))
     sketches, classes, roots = run.groups()
     found = classes.join(roots, "rep", "left").select("key", F.coalesce("root", "rep").alias("component"))
