@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, tidy
 
 MARK = "▁"
 #: Lattice nodes and words that a worker remembers, the longest part among them (a longer one is walked by itself), and the longest whose sums need no scaling.
@@ -416,8 +416,9 @@ def sampled_pieces(df: DataFrame, model_file: str, seed: int = 17, theta: float
                     ["id", "n_pieces", "pieces", "decoded_sha256", "lossless"],
                 )
                 at = stop
+        lat.forget()  # what is remembered would fill the worker in other stages
 
     bound_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(encode, f"id {kind}, n_pieces long, pieces array<int>, decoded_sha256 string, lossless boolean")
+    out = rows.mapInArrow(tidy(encode), f"id {kind}, n_pieces long, pieces array<int>, decoded_sha256 string, lossless boolean")
     return out.withColumnRenamed("id", id_col)

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches
+from .common import Scratch, bound_batches, give_back, tidy
 from .elias_fano import Trie
 
 #: Pairs that a shard should hold, tokens that a worker packs at a time, and words that it remembers.
@@ -96,7 +96,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if size:
             yield out()
 
-    found = docs.select("text", "held_out").mapInArrow(count, "word long, c long, n long")
+    found = docs.select("text", "held_out").mapInArrow(tidy(count), "word long, c long, n long")
     return found.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
@@ -139,7 +139,7 @@ def pack_pairs(docs: DataFrame, shards: int, hot: np.ndarray) -> DataFrame:
         if sizes:
             yield out()
 
-    return docs.select("key", "text", "held_out").mapInArrow(pack, "shard int, pairs binary")
+    return docs.select("key", "text", "held_out").mapInArrow(tidy(pack), "shard int, pairs binary")
 
 
 def score_shard(packed: list[bytes], hot: np.ndarray, hot_count: np.ndarray, discount: float) -> dict[str, np.ndarray]:
@@ -234,6 +234,7 @@ def lm_scores(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_c
 
     def score(table: pa.Table) -> pa.Table:
         r = score_shard(table["pairs"].to_pylist(), hot, hot_count, discount)
+        give_back()
         a, b, c = len(r["key"]), len(r["un_key"]), len(r["hot"])
         none = lambda k: np.zeros(k, np.int64)
         columns = {

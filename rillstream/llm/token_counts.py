@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, tidy
 
 MARK = "▁"
 #: Distinct pre-tokens that a worker remembers, and the longest one that it keeps.
@@ -130,5 +130,5 @@ def token_counts(df: DataFrame, model_file: str, id_col: str = "doc_id", text_co
 
     bound_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes"))
-    out = rows.mapInArrow(count, f"id {id_type}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(tidy(count), f"id {id_type}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, tidy
 from .decontaminate import _WORDS
 
 #: Hash slots; labelled rows of each class that a fit takes at most; features and the least chi-square of one.
@@ -137,7 +137,7 @@ def fit(spark: SparkSession, df: DataFrame, labels: DataFrame, id_col: str = "do
         at = np.flatnonzero(n.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[0, at]), pa.array(n[1, at])], ["slot", "n0", "n1"])
 
-    found = rows.mapInArrow(count, "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    found = rows.mapInArrow(tidy(count), "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     by_class = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = by_class.get(0, 0), by_class.get(1, 0)
     if not n0 or not n1:
@@ -156,7 +156,7 @@ def fit(spark: SparkSession, df: DataFrame, labels: DataFrame, id_col: str = "do
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(out, pa.list_(pa.int32())), b["y"]], ["id", "f", "y"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    got = sorted((str(r.id), r.f, r.y) for r in rows.mapInArrow(features, f"id {kind}, f array<int>, y int").collect())
+    got = sorted((str(r.id), r.f, r.y) for r in rows.mapInArrow(tidy(features), f"id {kind}, f array<int>, y int").collect())
     return train(slots, [f for _, f, _ in got], [y for *_, y in got])
 
 
@@ -182,7 +182,7 @@ def toxicity(spark: SparkSession, df: DataFrame, machine: Machine, id_col: str =
     rows = df.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(columns)), F.col(text_col).alias("_text"))
     names = [*rows.columns[:-1], "score"]
     kinds = ", ".join(f"_{k} {rows.schema[k].dataType.simpleString()}" for k in range(len(columns)))
-    scored = rows.mapInArrow(score, f"{kinds}, score double")
+    scored = rows.mapInArrow(tidy(score), f"{kinds}, score double")
     out = [F.col(f"_{k}").alias(c) for k, c in enumerate(columns)]
     if keep is None:
         out.append((_remainder("_0", 5) == 0).alias("held_out"))
