@@ -47,6 +47,7 @@ def tidy(task):
     """A batch function that gives its memory back when its task ends."""
 
     def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from task(batches)
         finally:

@@ -22,6 +22,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches, tidy
 
 MARK = "▁"
-#: Lattice nodes and words that a worker remembers, the longest part among them (a longer one is walked by itself), and the longest whose sums need no scaling.
-NODES, WORDS, LONGEST, SHORT = 4_000_000, 700_000, 256, 40
+#: Lattice nodes that a worker remembers (and a word for every six), the longest part among them (a longer one is walked by itself), and the longest whose sums need no scaling.
+NODES, LONGEST, SHORT = 4_000_000, 256, 40
 #: Zipf's offset, and the rank at which bytes and pieces without a rank weigh.
 OFFSET, LAST = 2.7, 60_000.0
 _CHUNKS = re.compile(r" *[^ ]+| +")
@@ -107,7 +108,8 @@ class _Trie:
 class Lattice:
     """A model's pieces with their weights, and the remembered forward sums of words."""
 
-    def __init__(self, model_file: str, theta: float = 1.0):
+    def __init__(self, model_file: str, theta: float = 1.0, remember: int = NODES):
+        self.remember = remember
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = sp.get_piece_size()
         self.size = n
@@ -152,9 +154,11 @@ class Lattice:
     def _split(self, key: str) -> int:
         """Number of a new word, given without its space: its parts are looked up or learned."""
         word, pairs, a = " " + key, self.pairs, 0
-        for b in range(1, len(word) + 1):
-            if b < len(word) and word[b - 1 : b + 1] in pairs:
-                continue
+        if pairs.issuperset(map(add, word, key)):
+            borders = (len(word),)
+        else:
+            borders = [b for b in range(1, len(word) + 1) if b == len(word) or word[b - 1 : b + 1] not in pairs]
+        for b in borders:
             part, a = word[a:b], b
             if len(part) > LONGEST:
                 self.long.append(part)
@@ -295,7 +299,7 @@ class Lattice:
 
     def sample(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """A segmentation of each text, as piece ids; ``keys`` are the rows' keys, mixed with the seed."""
-        if self.nodes > NODES or len(self.words) > WORDS or len(self.long) > WORDS:
+        if self.nodes > self.remember or max(len(self.words), len(self.long)) > self.remember // 6:
             self.forget()
         known, counts, sizes = [], [], []
         number = self.words.__getitem__
@@ -372,27 +376,27 @@ class Lattice:
 
 
 @lru_cache(2)
-def lattice(model_file: str, theta: float) -> Lattice:
+def lattice(model_file: str, theta: float, remember: int) -> Lattice:
     """One for each worker process, reused by its tasks."""
-    return Lattice(model_file, theta)
+    return Lattice(model_file, theta, remember)
 
 
 def row_keys(ids: list, seed: int) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(str(i) if i is not None else "", seed) for i in ids], np.uint64)
 
 
-def sampled_pieces(df: DataFrame, model_file: str, seed: int = 17, theta: float = 1.0, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 2_000_000) -> DataFrame:
+def sampled_pieces(df: DataFrame, model_file: str, seed: int = 17, theta: float = 1.0, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 500_000, remember: int = NODES) -> DataFrame:
     """A sampled segmentation of every row's whole text, decoded again: ``<id_col>, n_pieces, pieces, decoded_sha256, lossless``.
 
     Draws depend on the seed, the row's id (null: the empty string) and the text alone, so rows that share id and
     text get the same pieces. A null or empty text has no pieces and decodes to the empty text. ``lossless`` is whether the
     decoded text is the given one (null counts as empty). Other columns are not read. One narrow pass; texts
-    are taken in groups of about ``batch_chars`` characters.
+    are taken in groups of about ``batch_chars`` characters, and a worker remembers ``remember`` lattice nodes (about 90 bytes each).
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = lattice(model_file, theta)
+        lat = lattice(model_file, theta, remember)
         for b in batches:
             texts = [t or "" for t in b["text"].to_pylist()]
             at = 0

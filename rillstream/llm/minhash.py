@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, bound_batches, components, tidy
 
 #: Hash functions, kept bits of each minimum, and the chance to miss a pair at the threshold.
-HASHES, BITS, MISS = 256, 2, 1e-8
+HASHES, BITS, MISS = 384, 2, 1e-8
 #: Estimated similarity to the hub from which a member counts as near; far members of a bucket that its others meet directly (a bucket
 #: with more is split first, ``DEPTH`` times at most); ids up to which a selection of texts is broadcast.
 NEAR, OUTSIDE, DEPTH, BROADCAST_IDS = 0.45, 64, 3, 1_000_000
@@ -163,6 +163,7 @@ class _Groups:
                     band.append(band_keys(least, rows, bands))
                     sig.append(signature(least))
                 yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64()), pa.array(key, pa.binary()), _lists(band), _lists(sig)], ["id", "n", "key", "bands", "sig"])
+            _hashes().clear()
 
         return self.docs.mapInArrow(tidy(sketch), f"id {self.kind}, n long, key binary, bands array<long>, sig array<long>")
 
@@ -381,9 +382,16 @@ def near_duplicates(spark: SparkSession, df: DataFrame, size: int = 5, threshold
 
 def drop_near_duplicates(spark: SparkSession, df: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` without all but one document of each group; of rows that share an id one stays. Rows with null ids stay."""
-    ids = near_duplicates(spark, df, size, threshold, id_col, text_col).where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min("kept").alias("_kept"), F.count("*").alias("_rows"))
-    ids = Scratch(spark, "kept").table(ids, "kept")
-    left = df.join(ids, df[id_col] == ids["_id"], "left").where("_kept IS NULL OR _kept")
-    once = left.where("_rows IS NULL OR _rows = 1").select(*df.columns)
-    again = left.where("_rows > 1").dropDuplicates([id_col]).select(*df.columns)
-    return once.unionByName(again) if not ids.where("_rows > 1").isEmpty() else once
+    scratch = Scratch(spark, "kept")
+    found = scratch.table(near_duplicates(spark, df, size, threshold, id_col, text_col).select(F.col(id_col).alias("_id"), "kept").where("_id IS NOT NULL"), "ids")
+    here = df[id_col] == F.col("_id")
+
+    def among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, here, how)
+
+    # what goes is named, not what stays: texts are not shuffled where the names are few
+    left = among(df, scratch.table(found.where("NOT kept").select("_id").distinct(), "gone"), "left_anti")
+    again = scratch.table(found.where("kept").groupBy("_id").agg(F.count("*").alias("rows")).where("rows > 1").select("_id"), "again")
+    if again.isEmpty():
+        return left
+    return among(left, again, "left_anti").unionByName(among(left, again, "left_semi").dropDuplicates([id_col]))
