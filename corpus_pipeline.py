@@ -27,7 +27,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sampled segmentation of every document, with the check that it decodes to its text."""
-    return lattice.sampled_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    # the executors' memory still holds what the stages before have grown to: less is remembered here
+    return lattice.sampled_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), remember=500_000)
 
 
 STAGES = [
