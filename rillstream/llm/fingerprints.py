@@ -27,7 +27,7 @@ def _let(value: Column, body) -> Column:
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
-    """The anchors of a text, as an array of (place of the first token, hash); fewer than ``k`` tokens are one anchor, none are none."""
+    """The anchors of a text, as an array of (place of the first token, hash); tokens without a closed k-mer are one anchor, none are none."""
     inner = k - s + 1
 
     def of(h: Column) -> Column:
@@ -45,7 +45,8 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
         whole = F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(F.array_join(F.transform(h, lambda x: F.hex(x)), " ")).alias("hash")))
         none = F.array().cast("array<struct<place:int,hash:bigint>>")
-        return F.when(F.size(h) >= k, _let(smers, chosen)).when(F.size(h) > 0, whole).otherwise(none)
+        found = F.when(F.size(h) >= k, _let(smers, chosen)).otherwise(none)
+        return _let(found, lambda a: F.when((F.size(a) > 0) | (F.size(h) == 0), a).otherwise(whole))
 
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(0))
     return _let(F.transform(tokens, lambda t: F.xxhash64(t)), of)

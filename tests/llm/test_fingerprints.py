@@ -68,3 +68,11 @@ def test_anchors_move_with_their_passage(spark):
     df = spark.createDataFrame(rows, "a string, b string")
     m = df.select(fp.matches(fp.anchors(F.col("a")), fp.anchors(F.col("b"))).alias("m")).first().m
     assert len(m) > 20 and {x.b - x.a for x in m} == {37}
+
+
+def test_texts_without_a_closed_kmer_are_one_anchor(spark):
+    rng = np.random.default_rng(6)
+    texts = sorted({" ".join(f"s{x}" for x in rng.integers(0, 1000, n)) for n in (5, 6, 7) for _ in range(40)})
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", fp.anchors(F.col("text")).alias("a")).collect()
+    assert all(len(r.a) > 0 for r in rows)
+    assert len({tuple(x.hash for x in r.a) for r in rows}) == len(texts)
