@@ -3,7 +3,7 @@
 Tokens are stretches of up to sixteen characters without white space, and single characters of scripts that do not part words.
 Of the k-mers of neighbouring tokens those are anchors whose least inner s-mer, by hash, is the first or the last. That depends on
 the k-mer alone, so a passage keeps its anchors wherever it stands, and anchors of two texts can be matched by place. The fingerprint
-holds the least hashes of the anchors, which estimate the likeness of two whole anchor sets.
+holds every anchor, with its place.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Tokens of a k-mer and of its inner s-mers, and the hashes that a fingerprint keeps.
-K, S, KEEP = 5, 2, 64
+#: Tokens of a k-mer and of its inner s-mers.
+K, S = 5, 2
 _LONE = r"\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
 _TOKEN = rf"[{_LONE}]|[^\s{_LONE}]{{1,16}}"
 
@@ -52,35 +52,50 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return _let(F.transform(tokens, lambda t: F.xxhash64(t)), of)
 
 
-def sketch(text: Column, keep: int = KEEP) -> Column:
-    """The ``keep`` least 32-bit hashes of the text's anchors, ascending."""
-    hashes = F.transform(anchors(text), lambda a: F.shiftright(a["hash"], 32).cast("int"))
-    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, keep)
+def written(found: Column) -> Column:
+    """A fingerprint as a string: place and hash of each anchor in hexadecimal digits, as ``place:hash``, by commas."""
+    return F.lower(F.array_join(F.transform(found, lambda x: F.concat(F.hex(x["place"]), F.lit(":"), F.hex(x["hash"]))), ","))
 
 
-def written(sketched: Column) -> Column:
-    """A fingerprint as a string: eight hexadecimal digits for each hash."""
-    return F.array_join(F.transform(sketched, lambda h: F.lower(F.lpad(F.substring(F.hex(h), -8, 8), 8, "0"))), "")
+def matches(a: Column, b: Column) -> Column:
+    """Places of equal anchors in two texts: an array of (place in the first, place in the second). Of an anchor that texts repeat, the first
+    place in one goes with the first in the other, the second with the second, and so on; what is over has no match."""
+    hashes = [F.transform(x, lambda y: y["hash"]) for x in (a, b)]
 
+    def of(common: Column) -> Column:
+        def side(k: int, x: Column) -> Column:
+            return F.transform(x, lambda y: F.struct(y["hash"].alias("hash"), F.lit(k).alias("side"), y["place"].alias("place")))
 
-def likeness(a: Column, b: Column, keep: int = KEEP) -> Column:
-    """Estimated similarity of two anchor sets: the share of hashes in both among the least ones of either. Two empty ones are alike, an empty one is like no other."""
 
-    def of(u: Column) -> Column:
-        return F.when(F.size(u) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u).cast("double"))
+        def runs(both: Column) -> Column:
+            last = F.size(both) - 1
+            starts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get(both, i)["hash"] != F.get(both, i - 1)["hash"]))
 
-    return _let(F.slice(F.array_sort(F.array_union(a, b)), 1, keep), of)
+            def paired(starts: Column) -> Column:
+                def pairs(start: Column, j: Column) -> Column:
+                    def halves(run: Column) -> Column:
+                        each = F.zip_with(F.filter(run, lambda x: x["side"] == 0), F.filter(run, lambda x: x["side"] == 1), lambda x, y: F.struct(x["place"].alias("a"), y["place"].alias("b")))
+                        return F.filter(each, lambda p: p["a"].isNotNull() & p["b"].isNotNull())
 
+                    size = F.coalesce(F.get(starts, j + 1), last + 1) - start
+                    one = F.array(F.struct(F.get(both, start)["place"].alias("a"), F.get(both, start + 1)["place"].alias("b")))
+                    one = F.when(F.get(both, start)["side"] < F.get(both, start + 1)["side"], one).otherwise(none)
+                    return F.when(size == 1, none).when(size == 2, one).otherwise(_let(F.slice(both, start + 1, size), halves))
 
-def matches(a: Column, b: Column) -> Column:
-    """Places of equal anchors in two texts: an array of (place in the first, place in the second). An anchor that a text repeats counts by its last place."""
+                return F.array_sort(F.flatten(F.transform(starts, pairs)))
+
+            return _let(starts, paired)
 
-    def of(last: Column) -> Column:
-        found = F.filter(a, lambda x: F.map_contains_key(last, x["hash"]))
-        return F.transform(found, lambda x: F.struct(x["place"].alias("a"), F.element_at(last, x["hash"]).alias("b")))
+        return F.when(common, _let(F.array_sort(F.concat(side(0, a), side(1, b))), runs)).otherwise(none)
 
-    by_hash = F.aggregate(b, F.create_map().cast("map<bigint,int>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["hash"]), F.create_map(x["hash"], x["place"])))
-    return _let(by_hash, of)
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    return _let(F.arrays_overlap(*hashes), of)
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Similarity of two texts' anchors: those matched, place for place, as a share of all. Two empty ones are alike, an empty one is like no other."""
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, F.lit(1.0)).otherwise(_let(F.size(matches(a, b)), lambda n: n / (both - n).cast("double")))
 
 
 def following(scratch: Scratch, keys: DataFrame) -> DataFrame:
@@ -107,39 +122,40 @@ def edited_fingerprints(spark: SparkSession, df: DataFrame, id_col: str = "doc_i
     descending order of ids. Returns ``<id_col>, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
     A null text counts as empty and has an empty fingerprint. Rows that repeat id and text are one document in the order, and all get
     its results; texts that share an id, null ids too, are ordered by hash, null ids last. One document alone is its own next.
-    Texts are shuffled by id once (the exchange is used twice), and the third that the next document gives once; the rest is ids and sketches.
+    Texts are shuffled by id twice, once for themselves and once as the next of another; anchors are worked out where both texts are.
     """
     scratch = Scratch(spark, "fingerprints")
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    heads = scratch.table(docs.select("id", "th", F.length("text").alias("n"), sketch(F.col("text")).alias("sketch")), "sketches")
-    keys = heads.select("id", "th").distinct()
+    heads = scratch.table(docs.select("id", "th"), "heads")
+    keys = heads.distinct()
     repeated = keys.count() < heads.count()
-    if repeated:
-        heads = scratch.table(heads.dropDuplicates(["id", "th"]), "distinct")
 
-    def joined(left: DataFrame, right: DataFrame, names: tuple[str, str] = ("id", "th")) -> DataFrame:
-        """Rows of ``left`` with those of ``right`` whose id (null included) and text hash are the named columns'."""
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Rows of ``left`` with those of ``right`` of the same id (null included) and text hash."""
         right = right.withColumnsRenamed({"id": "id_", "th": "th_"})
-        return left.join(right, F.col(names[0]).eqNullSafe(F.col("id_")) & (F.col(names[1]) == F.col("th_"))).drop("id_", "th_")
+        return left.join(right, F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_"))).drop("id_", "th_")
 
-    asked = joined(following(scratch, keys), heads.select("id", "th", "n"))
-    near = joined(asked.select("id", "th", "next_id", "next_th"), heads.select("id", "th", F.col("sketch").alias("next_sketch")), ("next_id", "next_th")).drop("next_id", "next_th")
-    wanted = asked.select(F.col("id").alias("to_id"), F.col("th").alias("to_th"), "n", F.col("next_id").alias("id"), F.col("next_th").alias("th"))
-    fronts = joined(docs, wanted).select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), "n", F.substring("text", F.lit(1), F.floor(F.col("n") / 3).cast("int")).alias("front"))
+    asked = following(scratch, keys)
+    wanted = asked.select(F.col("id").alias("to_id"), F.col("th").alias("to_th"), F.col("next_id").alias("id"), F.col("next_th").alias("th"))
+    nexts = joined(docs, wanted).select(F.col("to_id").alias("id"), F.col("to_th").alias("th"), F.col("text").alias("next"))
     if repeated:
-        fronts = fronts.dropDuplicates(["id", "th"])
-    whole = joined(joined(joined(docs, fronts), heads.select("id", "th", "sketch")), near)
-    m = F.floor(F.col("n") / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n") - m), F.col("front"))
-    out = whole.select("id", F.col("n").cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
-    out = out.select("*", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch(F.col("edited")).alias("edited_sketch"))
-    return out.select(
-        F.col("id").alias(id_col),
-        "n_chars",
-        "edited_sha256",
-        written(F.col("sketch")).alias("fingerprint"),
-        written(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-    )
+        nexts = nexts.dropDuplicates(["id", "th"])
+    n = F.length("text")
+    m = F.floor(n / 3).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - m), F.substring("next", F.lit(1), m))
+    out = joined(docs, nexts).select("id", n.cast("long").alias("n_chars"), "text", "next", edited.alias("edited"))
+
+    def results(own: Column) -> Column:
+        def of(new: Column) -> Column:
+            return F.struct(
+                written(own).alias("fingerprint"),
+                written(new).alias("edited_fingerprint"),
+                likeness(own, new).alias("near_edited"),
+                _let(anchors(F.col("next")), lambda after: likeness(own, after)).alias("near_next"),
+            )
+
+        return _let(anchors(F.col("edited")), of)
+
+    out = out.select(F.col("id").alias(id_col), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), _let(anchors(F.col("text")), results).alias("r"))
+    return out.select(id_col, "n_chars", "edited_sha256", "r.*")

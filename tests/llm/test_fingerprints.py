@@ -76,3 +76,27 @@ def test_texts_without_a_closed_kmer_are_one_anchor(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", fp.anchors(F.col("text")).alias("a")).collect()
     assert all(len(r.a) > 0 for r in rows)
     assert len({tuple(x.hash for x in r.a) for r in rows}) == len(texts)
+
+
+def test_long_texts_keep_every_anchor_and_its_place(spark):
+    rng = np.random.default_rng(7)
+    shared = [f"p{x}" for x in rng.integers(0, 10**6, 200)]
+    one, two = ([f"{c}{x}" for x in rng.integers(0, 10**6, 6000)] for c in "ab")
+    rows = [(2, " ".join(one[:3000] + shared + one[3000:])), (1, " ".join(two[:100] + shared + two[100:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: [(x.place, x.hash % 2**64) for x in r.a] for r in df.select("doc_id", fp.anchors(F.col("text")).alias("a")).collect()}
+    got = {r.doc_id: r for r in fp.edited_fingerprints(spark, df).collect()}
+    read = {i: [tuple(int(v, 16) for v in x.split(":")) for x in r.fingerprint.split(",")] for i, r in got.items()}
+    assert read == kept and len(kept[2]) > 2000
+    both = len({h for _, h in kept[1]} & {h for _, h in kept[2]})
+    assert both > 60
+    assert got[2].near_next == got[1].near_next == pytest.approx(both / (len(kept[1]) + len(kept[2]) - both), abs=1e-12)
+
+
+def test_repeated_anchors_match_one_for_one_in_order_of_place(spark):
+    text = "(array({}))"
+    side = lambda rows: text.format(",".join(f"struct(int({p}) AS place, bigint({h}) AS hash)" for p, h in rows))
+    a, b = side([(0, 7), (3, 8), (5, 7), (9, 7), (11, 4), (12, 1), (13, 1)]), side([(2, 7), (4, 9), (6, 7), (8, 8), (10, 4), (11, 4)])
+    r = spark.range(1).select(F.expr(a).alias("a"), F.expr(b).alias("b")).select(fp.matches(F.col("a"), F.col("b")).alias("m"), fp.likeness(F.col("a"), F.col("b")).alias("s")).first()
+    assert [tuple(x) for x in r.m] == [(0, 2), (3, 8), (5, 6), (11, 10)]
+    assert r.s == 4 / 9
