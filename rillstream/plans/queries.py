@@ -119,13 +119,16 @@ def conn_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select(F.col("src_node_ip").alias("src"), F.col("dst_node_ip").alias("dst"), *(F.col(n).cast("long").alias(n) for n in names)).distinct()
 
 
-def conn_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers of orders that follow one another by key."""
+def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of orders that follow one another by key: ``file_id, src, dst``."""
     orders = read(spark, sf_dir, "orders")
     here = orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("string").alias("src"))
     after = orders.select((F.col("o_orderkey") - 1).alias("k"), F.col("o_custkey").cast("string").alias("dst"))
-    edges = here.join(after, "k").select(F.lit("").alias("file_id"), "src", "dst").distinct()
-    return clustering(edges).select("node", F.round("clustering", 6).alias("clustering"))
+    return here.join(after, "k").select(F.lit("").alias("file_id"), "src", "dst").distinct()
+
+
+def conn_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering(follow_ups(spark, sf_dir)).select("node", F.round("clustering", 6).alias("clustering"))
 
 
 def conn_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,13 +184,11 @@ def closed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conn_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = trade(spark, sf_dir).select("file_id", "src", "dst").distinct()
-    return betweenness(edges).select("node", F.round("betweenness", 9).alias("betweenness"))
+    return betweenness(follow_ups(spark, sf_dir)).select("node", F.round("betweenness", 9).alias("betweenness"))
 
 
 def conn_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = trade(spark, sf_dir).select("file_id", "src", "dst").distinct()
-    return communities(edges).select("node", F.col("community").cast("long").alias("community"))
+    return communities(follow_ups(spark, sf_dir)).select("node", F.col("community").cast("long").alias("community"))
 
 
 def seq_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
