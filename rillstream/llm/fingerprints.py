@@ -3,7 +3,7 @@
 Tokens are stretches of up to sixteen characters without white space, and single characters of scripts that do not part words.
 Of the k-mers of neighbouring tokens those are anchors whose least inner s-mer, by hash, is the first or the last. That depends on
 the k-mer alone, so a passage keeps its anchors wherever it stands, and anchors of two texts can be matched by place. The fingerprint
-holds every anchor, with its place.
+holds every anchor, with its place. Texts are alike as far as neighbouring anchors of one stand in the other at the same distance.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Tokens of a k-mer and of its inner s-mers.
-K, S = 5, 2
+#: Tokens of a k-mer and of its inner s-mers, and the longest token.
+K, S, LONGEST = 5, 2, 16
 _LONE = r"\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
-_TOKEN = rf"[{_LONE}]|[^\s{_LONE}]{{1,16}}"
+_TOKEN = rf"[{_LONE}]|[^{_LONE}]{{1,{LONGEST}}}"
 
 
 def _let(value: Column, body) -> Column:
@@ -26,6 +26,21 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _hashed_tokens(text: Column) -> Column:
+    """Hashes of a text's tokens: its words, but a word that is long or has characters of scripts that do not part words is cut."""
+
+    def odd(word: Column) -> Column:
+        # such characters take three bytes or more: only words with as many are searched for them
+        return (F.length(word) > LONGEST) | ((F.octet_length(word) > F.length(word) + 1) & word.rlike(f"[{_LONE}]"))
+
+    def hashed(words: Column) -> Column:
+        pieces = F.flatten(F.transform(words, lambda w: F.when(odd(w), F.regexp_extract_all(w, F.lit(_TOKEN), F.lit(0))).otherwise(F.array(w))))
+        each = lambda tokens: F.transform(tokens, lambda t: F.xxhash64(t))
+        return F.when(F.exists(words, odd), each(pieces)).otherwise(each(words))
+
+    return _let(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), ""), hashed)
+
+
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """The anchors of a text, as an array of (place of the first token, hash); tokens without a closed k-mer are one anchor, none are none."""
     inner = k - s + 1
@@ -34,22 +49,20 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
         smers = F.transform(F.sequence(F.lit(0), F.size(h) - s), lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(s))))
 
         def chosen(m: Column) -> Column:
-            def anchor(i: Column) -> Column:
-                at = [F.get(m, i + j) for j in range(inner)]
-                edge = F.least(at[0], at[-1])
-                kmer = F.xxhash64(*(F.get(m, i + j) for j in [*range(0, inner, s), inner - 1]))
-                closed = edge <= reduce(F.least, at[2:-1], at[1]) if inner > 2 else F.lit(True)
-                return F.when(closed, F.struct(i.cast("int").alias("place"), kmer.alias("hash")))
+            def anchor(first: Column, i: Column) -> Column:
+                at = [first, *(F.get(m, i + j) for j in range(1, inner))]
+                kmer = F.xxhash64(*(at[j] for j in [*range(0, inner, s), inner - 1]))
+                closed = F.least(at[0], at[-1]) <= reduce(F.least, at[2:-1], at[1]) if inner > 2 else F.lit(True)
+                return F.when((i < F.size(m) - (inner - 1)) & closed, F.struct(i.cast("int").alias("place"), kmer.alias("hash")))
 
-            return F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - k), anchor), lambda a: a.isNotNull())
+            return F.filter(F.transform(m, anchor), lambda a: a.isNotNull())
 
         whole = F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(F.array_join(F.transform(h, lambda x: F.hex(x)), " ")).alias("hash")))
         none = F.array().cast("array<struct<place:int,hash:bigint>>")
         found = F.when(F.size(h) >= k, _let(smers, chosen)).otherwise(none)
         return _let(found, lambda a: F.when((F.size(a) > 0) | (F.size(h) == 0), a).otherwise(whole))
 
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(0))
-    return _let(F.transform(tokens, lambda t: F.xxhash64(t)), of)
+    return _let(_hashed_tokens(text), of)
 
 
 def written(found: Column) -> Column:
@@ -57,45 +70,42 @@ def written(found: Column) -> Column:
     return F.lower(F.array_join(F.transform(found, lambda x: F.concat(F.hex(x["place"]), F.lit(":"), F.hex(x["hash"]))), ","))
 
 
-def matches(a: Column, b: Column) -> Column:
-    """Places of equal anchors in two texts: an array of (place in the first, place in the second). Of an anchor that texts repeat, the first
-    place in one goes with the first in the other, the second with the second, and so on; what is over has no match."""
-    hashes = [F.transform(x, lambda y: y["hash"]) for x in (a, b)]
+def steps(found: Column) -> Column:
+    """What texts are matched by: each anchor with the next one and how far on it stands, as a hash; a lone anchor stands for itself.
 
-    def of(common: Column) -> Column:
-        def side(k: int, x: Column) -> Column:
-            return F.transform(x, lambda y: F.struct(y["hash"].alias("hash"), F.lit(k).alias("side"), y["place"].alias("place")))
+    Two texts share a step where two neighbouring anchors of one stand in the other with the same distance: their places agree in shift.
+    The step that a text repeats is numbered: the second with the second of another text, and so on, so that steps are distinct.
+    """
 
+    def numbered(all_: Column) -> Column:
+        def runs(v: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i) != F.get(v, i - 1)))
 
-        def runs(both: Column) -> Column:
-            last = F.size(both) - 1
-            starts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get(both, i)["hash"] != F.get(both, i - 1)["hash"]))
+            def each(starts: Column) -> Column:
+                def run(start: Column, j: Column) -> Column:
+                    last = F.coalesce(F.get(starts, j + 1), F.size(v)) - start - 1
+                    return F.transform(F.sequence(F.lit(0), last), lambda n: F.when(n == 0, F.get(v, start)).otherwise(F.xxhash64(F.get(v, start), n)))
 
-            def paired(starts: Column) -> Column:
-                def pairs(start: Column, j: Column) -> Column:
-                    def halves(run: Column) -> Column:
-                        each = F.zip_with(F.filter(run, lambda x: x["side"] == 0), F.filter(run, lambda x: x["side"] == 1), lambda x, y: F.struct(x["place"].alias("a"), y["place"].alias("b")))
-                        return F.filter(each, lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+                return F.flatten(F.transform(starts, run))
 
-                    size = F.coalesce(F.get(starts, j + 1), last + 1) - start
-                    one = F.array(F.struct(F.get(both, start)["place"].alias("a"), F.get(both, start + 1)["place"].alias("b")))
-                    one = F.when(F.get(both, start)["side"] < F.get(both, start + 1)["side"], one).otherwise(none)
-                    return F.when(size == 1, none).when(size == 2, one).otherwise(_let(F.slice(both, start + 1, size), halves))
+            return _let(starts, each)
 
-                return F.array_sort(F.flatten(F.transform(starts, pairs)))
+        return F.when(F.size(F.array_distinct(all_)) == F.size(all_), all_).otherwise(_let(F.sort_array(all_), runs))
 
-            return _let(starts, paired)
+    def of(a: Column) -> Column:
+        def step(x: Column, i: Column) -> Column:
+            return _let(F.get(a, i + 1), lambda y: F.xxhash64(x["hash"], y["hash"], y["place"] - x["place"]))
 
-        return F.when(common, _let(F.array_sort(F.concat(side(0, a), side(1, b))), runs)).otherwise(none)
+        moves = F.slice(F.transform(a, step), F.lit(1), F.size(a) - 1)
+        return _let(F.when(F.size(a) > 1, moves).otherwise(F.transform(a, lambda x: x["hash"])), numbered)
 
-    none = F.array().cast("array<struct<a:int,b:int>>")
-    return _let(F.arrays_overlap(*hashes), of)
+    return _let(found, of)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Similarity of two texts' anchors: those matched, place for place, as a share of all. Two empty ones are alike, an empty one is like no other."""
+    """Similarity of two texts by their ``steps``: the common ones as a share of all. Two empty ones are alike, an empty one is like no other."""
     both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(_let(F.size(matches(a, b)), lambda n: n / (both - n).cast("double")))
+    return F.when(both == 0, F.lit(1.0)).otherwise(_let(F.size(F.array_intersect(a, b)), lambda n: n / (both - n).cast("double")))
 
 
 def following(scratch: Scratch, keys: DataFrame) -> DataFrame:
@@ -145,17 +155,14 @@ def edited_fingerprints(spark: SparkSession, df: DataFrame, id_col: str = "doc_i
     m = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - m), F.substring("next", F.lit(1), m))
     out = joined(docs, nexts).select("id", n.cast("long").alias("n_chars"), "text", "next", edited.alias("edited"))
-
-    def results(own: Column) -> Column:
-        def of(new: Column) -> Column:
-            return F.struct(
-                written(own).alias("fingerprint"),
-                written(new).alias("edited_fingerprint"),
-                likeness(own, new).alias("near_edited"),
-                _let(anchors(F.col("next")), lambda after: likeness(own, after)).alias("near_next"),
-            )
-
-        return _let(anchors(F.col("edited")), of)
-
-    out = out.select(F.col("id").alias(id_col), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), _let(anchors(F.col("text")), results).alias("r"))
-    return out.select(id_col, "n_chars", "edited_sha256", "r.*")
+    out = out.select("id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *(anchors(F.col(c)).alias(c) for c in ("text", "edited", "next")))
+    out = out.select("id", "n_chars", "edited_sha256", "text", "edited", *(steps(F.col(c)).alias(f"{c}_steps") for c in ("text", "edited", "next")))
+    return out.select(
+        F.col("id").alias(id_col),
+        "n_chars",
+        "edited_sha256",
+        written(F.col("text")).alias("fingerprint"),
+        written(F.col("edited")).alias("edited_fingerprint"),
+        likeness(F.col("text_steps"), F.col("edited_steps")).alias("near_edited"),
+        likeness(F.col("text_steps"), F.col("next_steps")).alias("near_next"),
+    )

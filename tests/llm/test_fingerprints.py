@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -61,13 +62,35 @@ def test_anchors_are_closed_syncmers(spark):
     assert got == want and 0.3 < len(got) / len(tokens) < 0.7
 
 
-def test_anchors_move_with_their_passage(spark):
+def plain_steps(anchors):
+    """Counter of (hash, next hash, distance), or of the lone anchor."""
+    if len(anchors) == 1:
+        return Counter([anchors[0].hash])
+    return Counter((x.hash, y.hash, y.place - x.place) for x, y in zip(anchors, anchors[1:]))
+
+
+def plain_likeness(a, b):
+    a, b = plain_steps(a), plain_steps(b)
+    both = (a & b).total()
+    return both / (a.total() + b.total() - both) if a or b else 1.0
+
+
+def test_anchors_and_steps_move_with_their_passage(spark):
     rng = np.random.default_rng(5)
     passage = " ".join(f"p{x}" for x in rng.integers(0, 10**6, 80))
     rows = [("x y z " + passage + " end", "start " * 40 + passage)]
     df = spark.createDataFrame(rows, "a string, b string")
-    m = df.select(fp.matches(fp.anchors(F.col("a")), fp.anchors(F.col("b"))).alias("m")).first().m
-    assert len(m) > 20 and {x.b - x.a for x in m} == {37}
+    both = [fp.anchors(F.col(c)) for c in "ab"]
+    r = df.select(*both, F.array_intersect(*(fp.steps(x) for x in both))).first()
+    place = [{x.hash: x.place for x in side} for side in r[:2]]
+    shared = [h for h in place[0] if h in place[1]]
+    assert len(shared) > 20 and {place[1][h] - place[0][h] for h in shared} == {37}
+    assert len(shared) - 3 <= len(r[2]) <= len(shared)
+    # the same anchors in another order agree in no shift
+    words = passage.split()
+    turned = " ".join(w for k in range(0, 80, 10) for w in words[70 - k : 80 - k])
+    near = spark.createDataFrame([(passage, turned)], "a string, b string").select(fp.likeness(*(fp.steps(fp.anchors(F.col(c))) for c in "ab"))).first()[0]
+    assert near < 0.6
 
 
 def test_texts_without_a_closed_kmer_are_one_anchor(spark):
@@ -88,15 +111,27 @@ def test_long_texts_keep_every_anchor_and_its_place(spark):
     got = {r.doc_id: r for r in fp.edited_fingerprints(spark, df).collect()}
     read = {i: [tuple(int(v, 16) for v in x.split(":")) for x in r.fingerprint.split(",")] for i, r in got.items()}
     assert read == kept and len(kept[2]) > 2000
-    both = len({h for _, h in kept[1]} & {h for _, h in kept[2]})
-    assert both > 60
-    assert got[2].near_next == got[1].near_next == pytest.approx(both / (len(kept[1]) + len(kept[2]) - both), abs=1e-12)
-
-
-def test_repeated_anchors_match_one_for_one_in_order_of_place(spark):
-    text = "(array({}))"
-    side = lambda rows: text.format(",".join(f"struct(int({p}) AS place, bigint({h}) AS hash)" for p, h in rows))
-    a, b = side([(0, 7), (3, 8), (5, 7), (9, 7), (11, 4), (12, 1), (13, 1)]), side([(2, 7), (4, 9), (6, 7), (8, 8), (10, 4), (11, 4)])
-    r = spark.range(1).select(F.expr(a).alias("a"), F.expr(b).alias("b")).select(fp.matches(F.col("a"), F.col("b")).alias("m"), fp.likeness(F.col("a"), F.col("b")).alias("s")).first()
-    assert [tuple(x) for x in r.m] == [(0, 2), (3, 8), (5, 6), (11, 10)]
-    assert r.s == 4 / 9
+    anchors = {r.doc_id: r.a for r in df.select("doc_id", fp.anchors(F.col("text")).alias("a")).collect()}
+    want = plain_likeness(anchors[1], anchors[2])
+    assert want > 0.01 and got[2].near_next == got[1].near_next == pytest.approx(want, abs=1e-12)
+
+
+def test_likeness_is_that_of_plain_multisets_of_steps(spark):
+    rng = np.random.default_rng(8)
+    line = " ".join(f"q{x}" for x in range(12))
+    texts = [" ".join([line] * n) + tail for n in (1, 2, 5, 40) for tail in ("", " other end of it all")]
+    texts += [" ".join(f"r{x}" for x in rng.integers(0, 3, n)) for n in (1, 4, 5, 9, 60, 400)] + ["", "日本語のテキストを読む" * 9, "x" * 200 + " " + "日本" * 4]
+    pairs = [(a, b) for a in texts for b in texts]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    x, y = fp.anchors(F.col("a")), fp.anchors(F.col("b"))
+    for r in df.select(x.alias("x"), y.alias("y"), fp.likeness(fp.steps(x), fp.steps(y)).alias("n")).collect():
+        assert r.n == pytest.approx(plain_likeness(r.x, r.y), abs=1e-12)
+
+
+def test_tokens_are_those_of_one_pattern(spark):
+    lone = r"\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsThai}"
+    texts = ["", " ", "a  b\tc\n", "x" * 50, "é" * 17 + " ü", "日本 語テキスト mixed日本x", "ab–cd … ef", "ไทย ภาษา", "a" * 16 + " " + "b" * 17, "  lead and trail  "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    whole = F.regexp_extract_all(F.lower("t"), F.lit(rf"[{lone}]|[^\s{lone}]{{1,16}}"), F.lit(0))
+    for r in df.select("t", fp._hashed_tokens(F.col("t")).alias("got"), F.transform(whole, lambda x: F.xxhash64(x)).alias("want")).collect():
+        assert r.got == r.want, r.t
