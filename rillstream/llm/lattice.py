@@ -8,8 +8,8 @@ and drawing one edge at each node gives a segmentation with exactly its chance u
 Where no piece holds two neighbouring characters side by side, every path passes the border between them. So the lattice is
 a chain of the lattices of the parts between such borders; a space behind another character always is one (checked when a model is
 loaded). Forward sums are worked out once for each distinct part that a worker remembers; all parts of a batch are then walked
-back together. Each draw is a hash of the seed, the row's key and the place in the text, so it depends
-neither on batches nor on partitions.
+back together. Each draw is a hash of the seed, the row's key and the place in the text, and chances are integers that are added up
+node by node, so a segmentation depends neither on batches nor on partitions, nor on what a worker remembers.
 
 Decoding joins the pieces' bytes and drops the space put in front. A space mark in the text itself is written as bytes, and so
 comes back as it was.
@@ -18,8 +18,10 @@ comes back as it was.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from operator import add
@@ -34,8 +36,10 @@ from pyspark.sql import functions as F
 from .common import bound_batches, tidy
 
 MARK = "▁"
-#: Lattice nodes that a worker remembers (and a word for every six), the longest part among them (a longer one is walked by itself), and the longest whose sums need no scaling.
+#: Lattice nodes that a worker remembers (and a word for every six), the longest part among them (a longer one is walked by itself), and the longest whose sums may need no scaling.
 NODES, LONGEST, SHORT = 4_000_000, 256, 40
+#: Chances are counted in these parts; the largest power of Zipf's law under which no sum vanishes.
+WHOLE, THETA = 1 << 31, 7.0
 #: Zipf's offset, and the rank at which bytes and pieces without a rank weigh.
 OFFSET, LAST = 2.7, 60_000.0
 _CHUNKS = re.compile(r" *[^ ]+| +")
@@ -49,8 +53,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def draws(key: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Uniform numbers from [0, 1), of a row's key and a place in its text."""
-    return (_mix(key + place.astype(np.uint64) * _GOLDEN) >> np.uint64(11)) * 2.0**-53
+    """Uniform integers under ``WHOLE``, of a row's key and a place in its text."""
+    return (_mix(key + place.astype(np.uint64) * _GOLDEN) >> np.uint64(33)).astype(np.uint32)
+
+
+def _shares(chances: list[float]) -> list[int]:
+    """Chances added up from the first on, in parts of ``WHOLE``; the last is the whole."""
+    out, total = [], 0.0
+    for p in chances:
+        total += p
+        out.append(min(int(total * WHOLE), WHOLE))
+    out[-1] = WHOLE
+    return out
+
+
+def _summed(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each stretch the sum, and the sums up to each of its values: one value after the other, so that other stretches play no part."""
+    total, upto = np.zeros(len(first)), np.empty(len(values))
+    live = np.arange(len(first))
+    for k in range(int(size.max())):
+        live = live[size[live] > k]
+        total[live] += values[first[live] + k]
+        upto[first[live] + k] = total[live]
+    return total, upto
 
 
 class _Words(dict):
@@ -109,6 +134,8 @@ class Lattice:
     """A model's pieces with their weights, and the remembered forward sums of words."""
 
     def __init__(self, model_file: str, theta: float = 1.0, remember: int = NODES):
+        if not 0 <= theta <= THETA:
+            raise ValueError(f"theta must be from 0 to {THETA}")
         self.remember = remember
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         n = sp.get_piece_size()
@@ -133,6 +160,10 @@ class Lattice:
         if len(self.byte_id) != 256:
             raise ValueError("the model has no byte pieces")
         self.byte_weight = (LAST + OFFSET) ** -theta
+        #: weights of a character without a piece, by its number of bytes
+        self.byte_weights = [self.byte_weight**n for n in range(5)]
+        #: the longest part whose sums stay far from the least number
+        self.short = min(SHORT, int(280 / max(theta * math.log10(LAST + OFFSET), 1e-9)))
         self.longest = max(map(len, self.id))
         #: characters that are side by side in some piece
         self.pairs = {p[k : k + 2] for p in self.id for k in range(len(p) - 1)}
@@ -144,7 +175,8 @@ class Lattice:
     def forget(self) -> None:
         self.words = _Words(self._split)  # a word without the space in front -> its number
         self.parts: dict[str, int] = {}  # part -> its last node
-        self.keys, self.before, self.piece = array("d"), array("q"), array("i")  # edges, by the node where they end
+        self.share, self.before, self.piece = array("I"), array("i"), array("i")  # edges, by the node where they end
+        self.head = array("i")  # of a node: its first edge
         self.nodes = 0
         self.first = array("q", [0])  # of a word: its first entry in the two below
         self.node, self.end = array("q"), array("q")  # of its parts: the last node, the end's place in the word
@@ -186,7 +218,7 @@ class Lattice:
                     out[b - 1].append((a, ids[part], weight[part]))
             if word[a] not in ids:
                 c = word[a]
-                out[a].append((a, self.size + ord(c), self.byte_weight ** len(c.encode())))
+                out[a].append((a, self.size + ord(c), self.byte_weights[len(c.encode())]))
         return out
 
     def _forward(self, edges: list[list[tuple[int, int, float]]]) -> list[list[float]]:
@@ -194,26 +226,26 @@ class Lattice:
         sums, out = [1.0], []
         for end in edges:
             part = [sums[a] * w for a, _, w in end]
-            total = sum(part)
+            total = 0.0
+            for x in part:
+                total += x
             out.append([x / total for x in part])
             sums.append(total)
-            if total < 1e-150:  # only the last few sums are used again
+            if total < 2.0**-500:  # only the last few sums are used again
                 low = max(0, len(sums) - self.longest - 1)
-                sums[low:] = [x * 1e150 for x in sums[low:]]
+                sums[low:] = [x * 2.0**500 for x in sums[low:]]
         return out
 
     def _learn(self, part: str) -> int:
         """Give a new part's borders the next nodes, ``first .. last``, and return the last; its edges are worked out with those of other new parts."""
-        if len(part) > SHORT:
+        if len(part) > self.short:
             self._learn_new()
             edges = self._edges(part)
-            for k, (end, chances) in enumerate(zip(edges, self._forward(edges)), self.nodes):
-                total = 0.0
-                for j, ((a, piece, _), p) in enumerate(zip(end, chances)):
-                    total = total + p if j + 1 < len(end) else 1.0
-                    self.keys.append(k + min(total, 1.0))
-                    self.before.append(self.nodes + a - 1 if a else -1)
-                    self.piece.append(piece)
+            for end, chances in zip(edges, self._forward(edges)):
+                self.head.append(len(self.share))
+                self.share.extend(_shares(chances))
+                self.before.extend(self.nodes + a - 1 if a else -1 for a, _, _ in end)
+                self.piece.extend(piece for _, piece, _ in end)
         else:
             self.new.append(part)
         self.nodes += len(part)
@@ -252,7 +284,7 @@ class Lattice:
         c = chars[odd]
         width = 1 + (c >= 0x80).astype(int) + (c >= 0x800) + (c >= 0x10000)
         start, end = np.concatenate([*starts, odd]), np.concatenate([*ends, odd])
-        piece, weight = np.concatenate([*pieces, self.size + c]), np.concatenate([*weights, self.byte_weight**width])
+        piece, weight = np.concatenate([*pieces, self.size + c]), np.concatenate([*weights, np.array(self.byte_weights)[width]])
         # sums behind each character, in the order of places within the parts
         place = end - first[end]
         order = np.lexsort((start, end, place))
@@ -262,24 +294,25 @@ class Lattice:
         chance = np.empty(len(start))
         bounds = np.searchsorted(place, np.arange(place[-1] + 2))
         groups = np.searchsorted(new, bounds)
+        size = np.diff(np.append(new, len(start)))
         for p in range(len(bounds) - 1):
             a, b = bounds[p], bounds[p + 1]
             own = weight[a:b] * np.where(start[a:b] > first[end[a:b]], sums[start[a:b] - 1], 1.0)
-            g = new[groups[p] : groups[p + 1]] - a
-            total = np.add.reduceat(own, g)
+            g, n_edges = new[groups[p] : groups[p + 1]] - a, size[groups[p] : groups[p + 1]]
+            total, _ = _summed(own, g, n_edges)
             sums[end[a:b][g]] = total
-            chance[a:b] = own / np.repeat(total, np.diff(np.append(g, b - a)))
-        # by node: the sum of chances up to each edge, the last of a node's exactly 1
+            chance[a:b] = own / np.repeat(total, n_edges)
+        # by node: the shares up to each edge, the last of a node's exactly the whole
         order = np.lexsort((start, end))
         start, end, piece, chance = start[order], end[order], piece[order], chance[order]
-        last = np.flatnonzero(np.concatenate((end[1:] != end[:-1], [True])))
-        total = np.cumsum(chance)
-        before = np.concatenate(([0.0], total[last[:-1]]))
-        part = np.minimum(total - np.repeat(before, np.diff(np.concatenate(([-1], last)))), 1.0)
-        part[last] = 1.0
+        head = np.flatnonzero(np.concatenate(([True], end[1:] != end[:-1])))
+        size = np.diff(np.append(head, len(end)))
+        share = np.minimum((_summed(chance, head, size)[1] * WHOLE).astype(np.uint32), WHOLE)
+        share[head + size - 1] = WHOLE
         base = self.nodes - n
-        self.keys.frombytes((base + end + part).tobytes())
-        self.before.frombytes(np.where(start > first[end], base + start - 1, -1).astype(np.int64).tobytes())
+        self.head.frombytes((len(self.share) + head).astype(np.int32).tobytes())
+        self.share.frombytes(share.astype(np.uint32).tobytes())
+        self.before.frombytes(np.where(start > first[end], base + start - 1, -1).astype(np.int32).tobytes())
         self.piece.frombytes(piece.astype(np.int32).tobytes())
 
     def _walk_long(self, word: str, key: np.uint64, place: int) -> list[int]:
@@ -288,11 +321,8 @@ class Lattice:
         chances = self._forward(edges)
         at, out = len(word), []
         while at:
-            u = float(draws(np.array([key], np.uint64), np.array([place + at], np.uint64))[0])
-            for (a, piece, _), p in zip(edges[at - 1], chances[at - 1]):
-                u -= p
-                if u < 0:
-                    break
+            u = int(draws(np.array([key], np.uint64), np.array([place + at], np.uint64))[0])
+            a, piece, _ = edges[at - 1][bisect_right(_shares(chances[at - 1]), u)]
             out.append(piece)
             at = a
         return out
@@ -327,7 +357,7 @@ class Lattice:
         return self._walk(np.frombuffer(self.node, np.int64)[entry], ends, np.repeat(owner, parts), keys, len(texts))
 
     def _walk(self, last: np.ndarray, ends: np.ndarray, owner: np.ndarray, keys: np.ndarray, n_texts: int) -> list[np.ndarray]:
-        edge_keys, before, piece = np.frombuffer(self.keys), np.frombuffer(self.before, np.int64), np.frombuffer(self.piece, np.int32)
+        head, share, before, piece = (np.frombuffer(x, t) for x, t in ((self.head, np.int32), (self.share, np.uint32), (self.before, np.int32), (self.piece, np.int32)))
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         size = np.zeros(len(last), np.int64)
         live = np.flatnonzero(last >= 0)
@@ -336,12 +366,16 @@ class Lattice:
         shift = ends - last  # a node's place in the text lies as far before the part's end as the node before the last
         while live.size:
             u = draws(key[live], shift[live] + node)
-            e = np.searchsorted(edge_keys, node + u, side="right")
+            e = head[node]
+            over = np.flatnonzero(u >= share[e])
+            while over.size:
+                e[over] += 1
+                over = over[u[over] >= share[e[over]]]
             steps.append((live, piece[e]))
             size[live] += 1
             node = before[e]
             go = node >= 0
-            live, node = live[go], node[go]
+            live, node = live[go], node[go].astype(np.int64)
         long = {}
         for k in np.flatnonzero(last < 0).tolist():
             part = self.long[-1 - int(last[k])]
@@ -391,36 +425,41 @@ def sampled_pieces(df: DataFrame, model_file: str, seed: int = 17, theta: float
     Draws depend on the seed, the row's id (null: the empty string) and the text alone, so rows that share id and
     text get the same pieces. A null or empty text has no pieces and decodes to the empty text. ``lossless`` is whether the
     decoded text is the given one (null counts as empty). Other columns are not read. One narrow pass; texts
-    are taken in groups of about ``batch_chars`` characters, and a worker remembers ``remember`` lattice nodes (about 90 bytes each).
+    are taken in groups of about ``batch_chars`` characters, and a worker remembers ``remember`` lattice nodes (about 60 bytes each).
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model_file, theta, remember)
-        for b in batches:
-            texts = [t or "" for t in b["text"].to_pylist()]
-            at = 0
-            while at < len(texts):
-                stop, chars = at, 0
-                while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= batch_chars):
-                    chars += len(texts[stop])
-                    stop += 1
-                ids = b["id"][at:stop]
-                found = lat.sample(texts[at:stop], row_keys(ids.to_pylist(), seed))
-                back = [lat.decode(f) for f in found]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids,
-                        pa.array([len(f) for f in found], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
-                        pa.array([x == y for x, y in zip(back, texts[at:stop])]),
-                    ],
-                    ["id", "n_pieces", "pieces", "decoded_sha256", "lossless"],
-                )
-                at = stop
-        lat.forget()  # what is remembered would fill the worker in other stages
+        try:
+            for b in batches:
+                yield from segment(lat, b)
+        finally:
+            lat.forget()  # what is remembered would fill the worker in other stages
+
+    def segment(lat: Lattice, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = [t or "" for t in b["text"].to_pylist()]
+        at = 0
+        while at < len(texts):
+            stop, chars = at, 0
+            while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= batch_chars):
+                chars += len(texts[stop])
+                stop += 1
+            ids = b["id"][at:stop]
+            found = lat.sample(texts[at:stop], row_keys(ids.to_pylist(), seed))
+            back = [lat.decode(f) for f in found]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids,
+                    pa.array([len(f) for f in found], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))),
+                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
+                    pa.array([x == y for x, y in zip(back, texts[at:stop])]),
+                ],
+                ["id", "n_pieces", "pieces", "decoded_sha256", "lossless"],
+            )
+            at = stop
 
     bound_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -87,6 +87,44 @@ def test_segmentations_are_lossless_and_reproducible(spark, monkeypatch):
     assert lt.sampled_pieces(df.limit(0), MODEL).collect() == []
 
 
+@pytest.mark.parametrize("theta", [0.0, 1.0, 6.0])
+def test_a_full_worker_draws_like_a_fresh_one(theta):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdethins") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) + " 🜀é中 " + "then" * 100 for _ in range(200)]
+    keys = lt.row_keys(list(range(len(texts))), 9)
+    full = lt.Lattice(MODEL, theta)
+    full.sample([" ".join(words)] * 3, keys[:3])
+    # as if nearly all the nodes that a worker may remember stood before
+    filler = 200_000
+    full.head.frombytes(np.full(filler, len(full.share), np.int32).tobytes())
+    full.nodes += filler
+    whole = full.sample(texts, keys)
+    assert [full.decode(f) for f in whole] == texts
+    for k in range(0, len(texts), 5):
+        fresh = lt.Lattice(MODEL, theta) if k == 0 else fresh
+        fresh.forget()
+        assert (fresh.sample([texts[k]], keys[k : k + 1])[0] == whole[k]).all()
+    places = np.concatenate([np.frombuffer(full.share, np.uint32)])
+    assert places.max() == lt.WHOLE
+
+
+def test_paths_through_the_lattice_give_equal_shares(monkeypatch):
+    rng = random.Random(6)
+    parts = ["".join(rng.choice("abcdethins") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    lat = lt.Lattice(MODEL)
+    lat.sample(parts, lt.row_keys(parts, 1))
+    monkeypatch.setattr(lt, "SHORT", 0)
+    slow = lt.Lattice(MODEL)
+    slow.sample(parts, lt.row_keys(parts, 1))
+    assert lat.share == slow.share and lat.piece == slow.piece and lat.before == slow.before and lat.head == slow.head
+
+
+def test_theta_is_bounded():
+    with pytest.raises(ValueError):
+        lt.Lattice(MODEL, 7.5)
+
+
 def test_different_rows_differ():
     lat = lt.Lattice(MODEL, 0.3)
     got = lat.sample(["something longer to be cut"] * 50, lt.row_keys(list(range(50)), 1))
