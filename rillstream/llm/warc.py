@@ -46,18 +46,23 @@ def headers(df: DataFrame, id_col: str, text_col: str, url_col: str) -> DataFram
 
 
 def resolve(heads: DataFrame, least_bytes: int) -> DataFrame:
-    """``heads`` (id, bytes, digest, ...) with ``original``: the id of the response that a row revisits, null for responses.
+    """``heads`` (id, bytes, digest, url) with ``original`` and ``original_url``: the id and url of the response that a row revisits, null for responses.
 
     The largest id of a digest is pre-aggregated before the shuffle; a hot digest's rows meet it in a join that Spark can
     split. Rows of the largest id itself (repeated rows) are all responses.
     """
-    largest = heads.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("id").alias("largest"))
+    largest = heads.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max(F.struct("id", "url")).alias("largest"))
     both = heads.join(largest, ["digest", "bytes"], "left")
-    return both.withColumn("original", F.when(F.col("id") < F.col("largest"), F.col("largest"))).drop("largest")
+    revisit = F.col("id") < F.col("largest.id")
+    return both.withColumns({"original": F.when(revisit, F.col("largest.id")), "original_url": F.when(revisit, F.col("largest.url"))}).drop("largest")
 
 
 def records(rows: DataFrame, date: str) -> DataFrame:
-    """The record of every row (id, bytes, digest, url, payload, original), without the last line end."""
+    """The record of every row (id, bytes, digest, url, payload, original, original_url), without the last line end.
+
+    A response's record id follows from its digest and id, so that revisits can name it; what no other record names, a revisit or a response without
+    an id, is numbered by its place in the plan.
+    """
     crlf, name = "\r\n", F.coalesce(F.col("id").cast("string"), F.lit(""))
     revisit = F.col("original").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "), F.col("bytes").cast("string"), F.lit(crlf * 2))
@@ -65,13 +70,16 @@ def records(rows: DataFrame, date: str) -> DataFrame:
     of_original = F.concat(
         F.lit(f"WARC-Profile: {_PROFILE}{crlf}WARC-Refers-To: <"),
         _uuid(F.concat_ws(":", F.lit("response"), F.col("digest"), F.col("original").cast("string"))),
-        F.lit(f">{crlf}"),
+        F.lit(f">{crlf}WARC-Refers-To-Target-URI: "),
+        F.col("original_url"),
+        F.lit(f"{crlf}WARC-Refers-To-Date: {date}{crlf}"),
     )
+    unnamed = F.when(revisit | F.col("id").isNull(), F.concat(F.lit(":"), F.monotonically_increasing_id().cast("string"))).otherwise(F.lit(""))
     head = F.concat(
         F.lit(f"WARC/1.1{crlf}WARC-Type: "),
         F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")),
         F.lit(f"{crlf}WARC-Record-ID: <"),
-        _uuid(F.concat_ws(":", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), F.col("digest"), name)),
+        _uuid(F.concat_ws(":", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), F.col("digest"), F.concat(name, unnamed))),
         F.lit(f">{crlf}WARC-Date: {date}{crlf}WARC-Target-URI: "),
         F.col("url"),
         F.lit(f"{crlf}X-Source-Id: "),
@@ -93,11 +101,12 @@ def write_archives(
     """Write deduplicated archives of the rows' payloads (null: empty) to the folder ``path``.
 
     Of rows with equal payloads of at least ``least_bytes`` bytes the one with the largest id is the response; smaller payloads and
-    rows with null ids are responses. An empty table gives an empty folder.
+    rows with null ids are responses. Rows that repeat the largest id of a payload are all responses, with one record id. An empty table gives an empty folder.
     """
     rows = headers(df, id_col, text_col, url_col)
     # digests are resolved on ids and sizes; payloads then move once, to their own id's outcome
-    heads = resolve(rows.select("id", "bytes", "digest"), least_bytes).where("original IS NOT NULL").select("id", "digest", "original").distinct()
+    heads = resolve(rows.select("id", "bytes", "digest", "url"), least_bytes).where("original IS NOT NULL")
+    heads = heads.select("id", "digest", "original", "original_url").distinct()
     whole = rows.join(heads, ["id", "digest"], "left")
     records(whole, date).write.option("compression", "gzip").option("lineSep", "\n").text(path)
 
@@ -135,9 +144,18 @@ class _Parser:
             self.missing, self.body = int(self.head["content-length"]) + 4, []
         return None
 
+    def close(self) -> None:
+        """The archive ends here: no record may be open."""
+        if self.head is not None:
+            raise ValueError(f"{self.head.get('warc-record-id', 'a record')}: the archive ends within the record")
+
 
 def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
-    """``id, record_type, record_id, refers_to_id, bytes, digest`` of the archives' records; what a response's digest says is checked on its payload."""
+    """``id, record_type, record_id, refers_to_id, bytes, digest`` of the archives' records; what a response's digest says is checked on its payload.
+
+    An archive that ends within a record, a record that does not end where its head says, and a payload that is not what its digest
+    says are errors, never skipped. An empty folder gives an empty table.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsers: dict[str, _Parser] = {}
@@ -145,6 +163,8 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> Data
             out = []
             for file, line in zip(b["file"].to_pylist(), b["value"].to_pylist()):
                 if file not in parsers:
+                    for before in parsers.values():
+                        before.close()
                     parsers = {file: _Parser()}  # a file's lines come together, and files are not split
                 if (got := parsers[file].feed(line)) is None:
                     continue
@@ -157,6 +177,8 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> Data
                         raise ValueError(f"{head['warc-record-id']}: the payload is not what its head says")
                 out.append((head["x-source-id"] or None, kind, head["warc-record-id"], head.get("warc-refers-to"), size, digest))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64() if k == 4 else pa.string()) for k in range(6)], ["id", "record_type", "record_id", "refers_to_id", "bytes", "digest"])
+        for last in parsers.values():
+            last.close()
 
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
     out = lines.mapInArrow(read, "id string, record_type string, record_id string, refers_to_id string, bytes long, digest string")

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import zlib
 
@@ -63,8 +64,6 @@ def test_archives_round_trip(spark, tmp_path, least):
 
 
 def test_archive_is_well_formed(spark, tmp_path):
-    import gzip
-
     d = spark.createDataFrame([(1, "<p>é</p>", "http://a/"), (2, "<p>é</p>", "http://b/")], "page_id long, html string, url string")
     warc.write_archives(spark, d.coalesce(1), str(tmp_path / "w"))
     raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
@@ -81,6 +80,31 @@ def test_archive_is_well_formed(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "none")).collect() == []
 
 
+def test_a_cut_off_archive_is_an_error(spark, tmp_path):
+    d = spark.createDataFrame([(k, f"<p>{k}</p>\n" * 9, f"http://a/{k}") for k in range(5)], "page_id long, html string, url string")
+    warc.write_archives(spark, d.coalesce(1), str(tmp_path / "w"))
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("*.gz")))
+    lines = raw.split(b"\n")
+    for cut in (len(lines) // 2, len(lines) - 5, 3):
+        where = tmp_path / f"cut{cut}"
+        where.mkdir()
+        (where / "a.gz").write_bytes(gzip.compress(raw))
+        (where / "b.gz").write_bytes(gzip.compress(b"\n".join(lines[:cut])))
+        with pytest.raises(Exception, match="ends within the record|does not end where"):
+            warc.read_archives(spark, str(where)).collect()
+
+
+def test_revisits_name_their_originals(spark, tmp_path):
+    d = spark.createDataFrame([(1, "same", "http://a/1"), (2, "same", "http://a/2"), (None, "same", "http://a/3"), (None, "same", "http://a/4"), (1, "same", "http://a/1")], "page_id long, html string, url string")
+    warc.write_archives(spark, d, str(tmp_path / "w"))
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz")).decode()
+    heads = [dict(x.split(": ", 1) for x in r.split("\r\n\r\n")[0].split("\r\n")[1:]) for r in raw.split("\r\n\r\nWARC/1.1")]
+    revisits = [h for h in heads if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 2 and {(h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"]) for h in revisits} == {("http://a/2", "2024-01-01T00:00:00Z")}
+    assert len({h["WARC-Record-ID"] for h in heads}) == 5
+    assert {h["WARC-Refers-To"] for h in revisits} == {h["WARC-Record-ID"] for h in heads if h["X-Source-Id"] == "2"}
+
+
 URLS = [
     ("https://a.example.org/es/1", "a.example.org", "/es/1", "example.org/es/", "block"),
     ("https://example.org/en/123?x#y", "example.org", "/en/123", "example.org/en/1", "block"),
@@ -143,6 +167,44 @@ def test_mined_rules_equal_counting(spark):
             assert got[k][1] == pytest.approx(max(fits))
 
 
+def test_rules_are_learned_from_given_verdicts(spark):
+    urls = []
+    for k in range(1200):
+        host = ("a.example.org", "b.com", "c.net")[k % 3]
+        urls.append((k, f"http://{host}/{('es', 'fr', 'de', 'it')[k // 3 % 4]}/{('x', 'y', 'z')[k % 5 % 3]}{k}"))
+    d = spark.createDataFrame(urls, "page_id long, url string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in url_rules.judge(spark, d, none).collect()}
+    # block/de comes of com/de/, block/es of example.org/es/: nothing else is labelled under these segments, so .net follows
+    for k, url in urls:
+        if ".net/" in url:
+            assert got[k].rule is None and got[k].verdict == ("block" if "/es/" in url else "allow"), url
+    held = url_rules.held_out_quality(spark, url_rules.labelled(url_rules.judged(d), none)["given"])
+    assert held["tp"] > 0 and held["fp"] == held["fn"] == 0
+
+
+def test_long_hosts_have_all_their_parents(spark):
+    deep = ".".join(f"l{k}" for k in range(9)) + ".net"
+    odd = ".".join(f"q{k}" for k in range(200)) + ".net"
+    urls = [(k, f"http://{deep if k % 2 else 'good.l3.net'}/p{'abc'[k % 3]}/{k}") for k in range(200)] + [(1000, f"http://{odd}/a"), (1001, f"http://x.{deep}/other"), (1002, "http://l5.l6.l7.l8.net/a b"), (1003, "http://h.net/" + "s/" * 20_000)]
+    d = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(200)], "doc_id long, quality int, toxic int")
+    host, path = url_rules.parts(F.col("url"))
+    sets = {r.page_id: r.t for r in d.select("page_id", url_rules.tokens(F.col("url"), host, path).alias("t")).collect()}
+    assert f"h:{deep}" in sets[1] and "h:l4.l5.l6.l7.l8.net" in sets[1] and f"h:{odd}" in sets[1000]
+    got = {r.page_id: r.verdict for r in url_rules.judge(spark, d, labels, rules=()).collect()}
+    assert all(got[k] == ("block" if k % 2 else "allow") for k in range(200))
+    assert got[1001] == "block" and got[1002] == got[1003] == "allow"
+
+
+def test_tokens_with_spaces_are_not_taken_apart(spark):
+    urls = [(k, "http://n.net/a p:b" if k % 2 else "http://n.net/a/b") for k in range(100)]
+    d = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(100)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_rules.judge(spark, d, labels, rules=()).collect()}
+    assert all(got[k] == ("block" if k % 2 else "allow") for k in range(100))
+
+
 def test_components_of_chains_and_stars(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(500, 500), (7, 3), (3, 7)]
     d = spark.createDataFrame(pairs, "a long, b long")
