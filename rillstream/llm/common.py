@@ -10,7 +10,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = "spark.checkpoint.dir"
@@ -28,6 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return here.rstrip("/")
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The columns as ``c0, c1, ...``, so that columns put beside them clash with none."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Rows of an Arrow batch that goes to a Python worker, where the session has Spark's own 10000: texts can be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -14,13 +14,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
-from .common import bound_batches
+from .common import Scratch, bound_batches, numbered
 
 #: A-Z are lowered, and all but 0-9, a-z and bytes of other characters become spaces.
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -259,39 +261,67 @@ def decontaminate(
 
     Spans of ``window`` matching words or more (or a whole shorter item) are cut out of the text, again and again until no
     window is left; a document of whose words more than ``coverage`` are hit goes as a whole. Clean documents,
-    empty and null texts stay as they are. ``n_chars_col``, if there, is set anew where a text is cut.
+    empty and null texts stay as they are, and so do null ids, repeated rows, each judged by itself, and other columns, whatever their
+    names. ``n_chars_col``, if there, is set anew where a text is cut. Without items nothing is cut.
+
+    One block of items is one narrow pass. Of more blocks the spans are gathered first, so that a text is judged and cut by all; rows that were
+    cut, which are few, go through all blocks again until nothing is hit.
     """
     bound_batches(df.sparkSession)
-    for automaton in blocks(benchmark, item_col, item_text_col, window):
-        sent = spark.sparkContext.broadcast(automaton)
-
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                t = pa.Table.from_batches([b])
-                texts = t[text_col].to_pylist()
-                keep, changed = [True] * len(texts), False
-                sizes = t[n_chars_col].to_pylist() if n_chars_col in t.column_names else None
-                for k, text in enumerate(texts):
-                    doc = words(text)
-                    spans, _ = sent.value.spans(doc)
-                    if not spans:
-                        continue
-                    changed = True
-                    if sum(y - x for x, y in spans) > coverage * len(doc):
-                        keep[k] = False
-                        continue
-                    while spans:
-                        text = without(text, spans)
-                        spans, _ = sent.value.spans(words(text))
-                    texts[k] = text
-                    if sizes is not None:
-                        sizes[k] = len(text)
-                if changed:
-                    for name, values in ((text_col, texts), (n_chars_col, sizes)):
-                        if values is not None:
-                            t = t.set_column(t.column_names.index(name), t.schema.field(name), pa.array(values, t.schema.field(name).type))
-                    t = t.filter(pa.array(keep))
-                yield from t.to_batches()
-
-        df = df.mapInArrow(clean, df.schema)
-    return df
+    sent = [spark.sparkContext.broadcast(a) for a in blocks(benchmark, item_col, item_text_col, window)]
+    if not sent:
+        return df
+    at = df.columns.index(text_col)
+    n_at = df.columns.index(n_chars_col) if n_chars_col in df.columns else None
+    rows = numbered(df)
+
+    def cut(batches: Iterator[pa.RecordBatch], whole: bool = True) -> Iterator[pa.RecordBatch]:
+        """Cuts by the spans of the last column, or of the only block until none is left, and says in its place whether a text was cut; ``whole``: documents may go."""
+        for b in batches:
+            columns = b.columns
+            texts, found = columns[at].to_pylist(), columns[-1].to_pylist()
+            sizes = columns[n_at].to_pylist() if n_at is not None else None
+            keep, hit = [True] * len(texts), [False] * len(texts)
+            for k, text in enumerate(texts):
+                spans = [*map(tuple, found[k] or ())] if len(sent) > 1 else sent[0].value.spans(words(text))[0]
+                if not spans:
+                    continue
+                if whole and sum(y - x for x, y in spans) > coverage * len(words(text)):
+                    keep[k] = False
+                    continue
+                hit[k] = True
+                while spans:
+                    text = without(text, spans)
+                    spans = sent[0].value.spans(words(text))[0] if len(sent) == 1 else []
+                texts[k] = text
+                if sizes is not None:
+                    sizes[k] = len(text)
+            if any(hit):
+                columns[at] = pa.array(texts, columns[at].type)
+                if sizes is not None:
+                    columns[n_at] = pa.array(sizes, columns[n_at].type)
+            columns[-1] = pa.array(hit)
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names[:-1], "hit"]).filter(pa.array(keep))
+
+    none = F.lit(None).cast("array<array<int>>").alias("spans")
+    schema = StructType([*rows.schema.fields, StructField("hit", BooleanType())])
+    if len(sent) == 1:
+        return rows.select("*", none).mapInArrow(cut, schema).drop("hit").toDF(*df.columns)
+    scratch, settled = Scratch(spark, "decontaminate"), []
+    while True:
+        spotted = rows.select("*", none)
+        for one in sent:
+
+            def spot(batches: Iterator[pa.RecordBatch], one=one) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    both = zip(b.columns[at].to_pylist(), b.columns[-1].to_pylist())
+                    spans = [merge([*map(tuple, old or ()), *one.value.spans(words(text))[0]]) for text, old in both]
+                    yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(spans, pa.list_(pa.list_(pa.int32())))], b.schema.names)
+
+            spotted = spotted.mapInArrow(spot, spotted.schema)
+        first = not settled
+        done = scratch.table(spotted.mapInArrow(lambda batches, whole=first: cut(batches, whole), schema), f"round-{len(settled)}")
+        settled.append(done.where("NOT hit").drop("hit"))
+        rows = done.where("hit").drop("hit")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, settled).toDF(*df.columns)

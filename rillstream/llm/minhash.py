@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, components, tidy
+from .common import Scratch, bound_batches, components, numbered, quoted, tidy
 
 #: Hash functions, kept bits of each minimum, and the chance to miss a pair at the threshold.
 HASHES, BITS, MISS = 384, 2, 1e-8
@@ -381,17 +381,21 @@ def near_duplicates(spark: SparkSession, df: DataFrame, size: int = 5, threshold
 
 
 def drop_near_duplicates(spark: SparkSession, df: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` without all but one document of each group; of rows that share an id one stays. Rows with null ids stay."""
+    """The rows of ``df`` without all but one document of each group; of rows that share an id one stays. Rows with null ids stay.
+
+    Other columns come along, whatever their names; an empty table gives an empty table.
+    """
     scratch = Scratch(spark, "kept")
-    found = scratch.table(near_duplicates(spark, df, size, threshold, id_col, text_col).select(F.col(id_col).alias("_id"), "kept").where("_id IS NOT NULL"), "ids")
-    here = df[id_col] == F.col("_id")
+    found = near_duplicates(spark, df, size, threshold, id_col, text_col).select(quoted(id_col).alias("kept_id"), "kept").where("kept_id IS NOT NULL")
+    found = scratch.table(found, "ids")
+    rows, at = numbered(df), f"c{df.columns.index(id_col)}"
 
     def among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-        return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, here, how)
+        return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, F.col(at) == F.col("kept_id"), how)
 
     # what goes is named, not what stays: texts are not shuffled where the names are few
-    left = among(df, scratch.table(found.where("NOT kept").select("_id").distinct(), "gone"), "left_anti")
-    again = scratch.table(found.where("kept").groupBy("_id").agg(F.count("*").alias("rows")).where("rows > 1").select("_id"), "again")
-    if again.isEmpty():
-        return left
-    return among(left, again, "left_anti").unionByName(among(left, again, "left_semi").dropDuplicates([id_col]))
+    left = among(rows, scratch.table(found.where("NOT kept").select("kept_id").distinct(), "gone"), "left_anti")
+    again = scratch.table(found.where("kept").groupBy("kept_id").agg(F.count("*").alias("rows")).where("rows > 1").select("kept_id"), "again")
+    if not again.isEmpty():
+        left = among(left, again, "left_anti").unionByName(among(left, again, "left_semi").dropDuplicates([at]))
+    return left.toDF(*df.columns)

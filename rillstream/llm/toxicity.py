@@ -1,7 +1,9 @@
 """Toxicity by a factorisation machine over hashed terms.
 
-A document's terms are its words and their first four and five letters, hashed into a fixed number of slots. Slots that go
-with the label in a bounded sample of labelled rows become features; a factorisation machine gives each a
+A document's terms are its words and their first four and five letters, hashed into a fixed number of slots. Features are the
+slots that go with the label in a bounded sample of labelled rows, each by itself, and those that do so only in pairs: the common
+slots whose occurring together, more or less than their shares say, differs most between the classes, where a machine with them does
+better on a fifth of the sample that it did not learn from. A factorisation machine gives each a
 weight and a vector, so that a pair of terms (an insult with the mention of a group) can weigh more than both alone.
 """
 
@@ -9,18 +11,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bound_batches, tidy
+from .common import Scratch, bound_batches, numbered, quoted, tidy
 from .decontaminate import _WORDS
 
 #: Hash slots; labelled rows of each class that a fit takes at most; features and the least chi-square of one.
-SLOTS, SAMPLE, FEATURES, CHI2 = 1 << 18, 6000, 4096, 25.0
+SLOTS, SAMPLE, FEATURES, CHI2 = 1 << 18, 6000, 4096, 15.0
+#: Of pairs: the most common slots that are looked at, each in a share of the sample, the features taken, the least squared deviation of a
+#: pair, and the least difference of the classes' correlations: small ones come of texts' lengths and topics.
+COMMON, SHARE, PAIRED, DEVIATION2, APART = 2048, 0.005, 256, 36.0, 0.4
 #: Distinct words that a worker remembers.
 REMEMBERED = 150_000
 
@@ -109,23 +116,77 @@ def _remainder(col: str, mod: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def sample(labels: DataFrame, mod: int = 5, most: int = SAMPLE, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
-    """At most ``most`` ids of each class with ``id, y``, the first by hash: rows whose crc32 remainder is 0, null ids and null labels are no one's to learn from; an id with both labels counts as 1."""
-    one = (
-        labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (_remainder(id_col, mod) != 0))
-        .groupBy(F.col(id_col).alias("id"))
-        .agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    )
-    picked = [one.where(f"y = {c}").orderBy(F.xxhash64("id"), "id").limit(most) for c in (0, 1)]
-    return picked[0].unionByName(picked[1])
+def teachers(labels: DataFrame, mod: int = 5, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """``id, y`` of the labels that may be learned from: rows whose crc32 remainder is not 0, but null ids and null labels; an id with both labels counts as 1."""
+    taught = labels.where(quoted(id_col).isNotNull() & quoted(label_col).isNotNull()).select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("y"))
+    return taught.where(_remainder("id", mod) != 0).groupBy("id").agg(F.max("y").alias("y"))
 
 
-def fit(spark: SparkSession, df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = SAMPLE) -> Machine:
-    """Learn from at most ``2 * most`` labelled rows. What comes to the driver is bounded: counts of ``SLOTS`` slots, and the features of the sample."""
+def sample(taught: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """At most ``most`` ids of each class, the first by hash."""
+    return reduce(DataFrame.unionByName, [taught.where(f"y = {c}").orderBy(F.xxhash64("id"), "id").limit(most) for c in (0, 1)])
+
+
+def interacting(slot: np.ndarray, row: np.ndarray, y: np.ndarray) -> list[int]:
+    """Slots that tell the classes in pairs: of the ``COMMON`` most frequent those in pairs whose covariance differs most between the classes, at most ``PAIRED``.
+
+    ``slot`` and ``row`` are the places of ones in the sample's matrix; slots are numbered from 0.
+    """
+    n = np.bincount(slot)
+    often = np.argsort(-n, kind="stable")[:COMMON]
+    often = often[n[often] >= max(20, SHARE * len(y))]
+    if not len(often) or y.min() == y.max():
+        return []
+    number = np.full(len(n), -1)
+    number[often] = np.arange(len(often))
+    ones = np.zeros((len(y), len(often)), bool)
+    mine = number[slot] >= 0
+    ones[row[mine], number[slot[mine]]] = True
+    apart, spread, each = np.zeros((len(often), len(often)), np.float32), ones.mean(0), 0.0
+    for c in (0, 1):
+        own = ones[y == c].astype(np.float32)
+        share = own.mean(0)
+        apart += (2 * c - 1) * (own.T @ own / len(own) - np.outer(share, share))
+        each += 1 / len(own)
+    spread = spread * (1 - spread) + 1e-12
+    apart2 = np.triu(np.square(apart) / np.outer(spread, spread), 1)
+    z2 = apart2 / each
+    a, b = np.nonzero((z2 >= DEVIATION2) & (apart2 >= APART**2))
+    out: dict[int, None] = {}
+    for k in np.argsort(-z2[a, b], kind="stable"):
+        if len(out) >= PAIRED:
+            break
+        out |= dict.fromkeys((int(often[a[k]]), int(often[b[k]])))
+    return list(out)
+
+
+def _unseen_loss(slots: list[int], docs: list[list[int]], y: np.ndarray, fold: int = 5) -> float:
+    """Mean logarithmic loss on every ``fold``-th row of a machine that learned from the others."""
+    own = [k for k in range(len(docs)) if k % fold]
+    m = train(slots, [docs[k] for k in own], y[own].tolist())
+    said = [(m.score(docs[k]), y[k]) for k in range(0, len(docs), fold)]
+    return float(np.mean([-np.log(max(p if t else 1 - p, 1e-12)) for p, t in said]))
+
+
+def fit(
+    spark: SparkSession, df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = SAMPLE, label_id_col: str | None = None
+) -> Machine:
+    """Learn from at most ``2 * most`` labelled rows; the bias is set right for the share of each class that was taken.
+
+    What comes to the driver is bounded: counts of ``SLOTS`` slots, and the features of the sample. Null ids, null labels and labels of documents that are not there
+    teach nothing; repeated rows count as often as they are there. Without both classes the machine says the share of label 1.
+    """
     bound_batches(df.sparkSession)
+    scratch = Scratch(spark, "toxicity")
+    taught = scratch.table(teachers(labels, id_col=label_id_col or id_col, label_col=label_col), "labels")
     # at most 2 * most rows of two numbers: a broadcast of proven size
-    chosen = spark.createDataFrame(sample(labels, most=most, label_col=label_col).collect(), f"id {labels.schema['doc_id'].dataType.simpleString()}, y int")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y")
+    chosen = sample(taught, most)
+    rows = df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y")
+    rows = scratch.table(rows, "sample")
+    by_class = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = by_class.get(0, 0), by_class.get(1, 0)
+    if not n0 or not n1:
+        return train([], [], [0] * n0 + [1] * n1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _Slots(terms)
@@ -138,52 +199,72 @@ def fit(spark: SparkSession, df: DataFrame, labels: DataFrame, id_col: str = "do
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[0, at]), pa.array(n[1, at])], ["slot", "n0", "n1"])
 
     found = rows.mapInArrow(tidy(count), "slot int, n0 long, n1 long").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    by_class = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = by_class.get(0, 0), by_class.get(1, 0)
-    if not n0 or not n1:
-        return train([], [], [0] * n0 + [1] * n1)
     a, b = F.col("n1"), F.col("n0")
     with_, n = a + b, n0 + n1
     chi2 = F.pow(a * n0 - b * n1, F.lit(2.0)) * n / (F.lit(float(n0)) * n1 * with_ * F.greatest(F.lit(n) - with_, F.lit(1)))
-    picked = found.select("slot", chi2.alias("c")).where(f"c >= {CHI2}").orderBy(F.desc("c"), "slot").limit(FEATURES).collect()
-    slots = sorted(r.slot for r in picked)
+    found = scratch.table(found.select("slot", with_.alias("n"), chi2.alias("c")), "slots")
+    alone = {r.slot for r in found.where(f"c >= {CHI2}").orderBy(F.desc("c"), "slot").limit(FEATURES).collect()}
+    common = {r.slot for r in found.orderBy(F.desc("n"), "slot").limit(COMMON).collect()}
+    slots = sorted(alone | common)
     number = {s: k for k, s in enumerate(slots)}
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = _Slots(lambda w: [number[s] for s in terms(w) if s in number])
         for b in batches:
             out = [sorted({f for w in _words(text) for f in of[w]}) for text in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(out, pa.list_(pa.int32())), b["y"]], ["id", "f", "y"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    got = sorted((str(r.id), r.f, r.y) for r in rows.mapInArrow(tidy(features), f"id {kind}, f array<int>, y int").collect())
-    return train(slots, [f for _, f, _ in got], [y for *_, y in got])
-
-
-def toxicity(spark: SparkSession, df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``<id_col>, held_out, score, predicted`` of every row (and the columns named in ``keep``).
-
-    Scores read the whole text and nothing else; a null or empty text gets the bias. A null id counts as the
-    empty string for ``held_out``. Repeated rows score alike. One narrow pass with a broadcast machine of at most ``FEATURES`` features.
-    """
-    bound_batches(df.sparkSession)
+            yield pa.RecordBatch.from_arrays([b["id"].cast(pa.string()), pa.array(out, pa.list_(pa.int32())), b["y"]], ["id", "f", "y"])
+
+    got = rows.mapInArrow(tidy(features), "id string, f array<int>, y int").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    lists = got["f"].combine_chunks()
+    ends, flat, y = lists.offsets.to_numpy(), lists.values.to_numpy(), got["y"].to_numpy()
+    row = np.repeat(np.arange(len(y)), np.diff(ends))
+
+    def restricted(kept: set[int]) -> tuple[list[int], list[list[int]]]:
+        """The slots of some features, and the documents in them."""
+        mine = np.array(sorted(kept), np.int64)
+        new = np.full(len(slots), -1)
+        new[mine] = np.arange(len(mine))
+        return [slots[k] for k in mine], [f[f >= 0].tolist() for f in np.split(new[flat], ends[1:-1])]
+
+    kinds = [restricted({number[s] for s in alone})]
+    if more := set(interacting(flat, row, y)) - {number[s] for s in alone}:
+        kinds.append(restricted({number[s] for s in alone} | more))
+    used, docs = min(kinds, key=lambda x: _unseen_loss(*x, y)) if len(kinds) > 1 else kinds[0]
+    machine = train(used, docs, y.tolist())
+    everyone = {r.y: r.n for r in taught.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    taken = {r.y: r.n for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    machine.bias += float(np.log(everyone[1] / taken[1]) - np.log(everyone[0] / taken[0]))
+    return machine
+
+
+def _scored(spark: SparkSession, rows: DataFrame, machine: Machine) -> DataFrame:
+    """``rows`` (the last column is the text) with ``score`` in place of the text. One narrow pass with a broadcast machine."""
+    bound_batches(rows.sparkSession)
     sent = spark.sparkContext.broadcast(machine)
+    names = [*rows.columns[:-1], "score"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         of = _Slots(m.features)
         for b in batches:
-            out = []
-            for text in b.column(b.num_columns - 1).to_pylist():
-                out.append(m.score(sorted({f for w in _words(text) for f in of[w]})))
+            out = [m.score(sorted({f for w in _words(text) for f in of[w]})) for text in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], names)
 
-    columns = [id_col] if keep is None else keep
-    rows = df.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(columns)), F.col(text_col).alias("_text"))
-    names = [*rows.columns[:-1], "score"]
-    kinds = ", ".join(f"_{k} {rows.schema[k].dataType.simpleString()}" for k in range(len(columns)))
-    scored = rows.mapInArrow(tidy(score), f"{kinds}, score double")
-    out = [F.col(f"_{k}").alias(c) for k, c in enumerate(columns)]
-    if keep is None:
-        out.append((_remainder("_0", 5) == 0).alias("held_out"))
-    return scored.select(*out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.mapInArrow(tidy(score), StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())]))
+
+
+def toxicity(spark: SparkSession, df: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``<id_col>, held_out, score, predicted`` of every row.
+
+    Scores read the whole text and nothing else; a null or empty text gets the bias. A null id counts as the
+    empty string for ``held_out``. Repeated rows score alike; an empty table gives an empty table; other columns are not read.
+    """
+    scored = _scored(spark, df.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")), machine)
+    return scored.select(F.col("id").alias(id_col), (_remainder("id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(spark: SparkSession, df: DataFrame, machine: Machine, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``df`` that score under ``limit``, with all their columns, whatever their names. Null and empty texts are judged by the bias; repeated rows share their fate."""
+    rows = numbered(df)
+    scored = _scored(spark, rows.select("*", F.col(f"c{df.columns.index(text_col)}").alias("text")), machine)
+    return scored.where(F.col("score") < limit).drop("score").toDF(*df.columns)

@@ -74,3 +74,33 @@ def test_passages_are_cut_and_clean_documents_stay(spark):
     assert got[3] == rows[2] and got[4] == rows[3]
     left = dc.contamination(spark, dc.decontaminate(spark, d, b), b).collect()
     assert not any(r.contaminated for r in left)
+
+
+def draw(rng, n, kind):
+    return [f"{kind}{x}" for x in rng.integers(0, 10**6, n)]
+
+
+def test_several_blocks_cut_like_one(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    one, two, three = draw(rng, 14, "a"), draw(rng, 14, "b"), draw(rng, 300, "c")
+    other = draw(rng, 60, "d")
+    docs = [
+        (1, " ".join(other[:30] + one + other[30:])),
+        (2, " ".join(other[:20] + one[:7] + two + one[7:] + other[20:])),  # cutting the second passage joins the first
+        (3, " ".join(one + two + other[:6])),  # hit by both to more than the limit, by neither alone
+        (4, " ".join(other)),
+        (5, None),
+        (None, " ".join(other[:9] + two + other[9:40])),
+        (4, " ".join(other)),
+    ]
+    d = spark.createDataFrame([(i, t, len(t or ""), "x", True) for i, t in docs], "doc_id long, text string, n_chars long, spans string, hit boolean")
+    b = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(three))], "item_id long, text string")
+    whole = sorted(dc.decontaminate(spark, d, b).collect(), key=str)
+    monkeypatch.setattr(dc, "BLOCK_WORDS", 14)
+    got = sorted(dc.decontaminate(spark, d, b).collect(), key=str)
+    assert got == whole and len(got) == 6 and 3 not in {r.doc_id for r in got}
+    again = spark.createDataFrame(got, d.schema)
+    assert not any(r.contaminated for r in dc.contamination(spark, again, b).collect())
+    for bench in (b, b.limit(0)):
+        assert dc.decontaminate(spark, d.limit(0), bench).collect() == []
+    assert sorted(dc.decontaminate(spark, d, b.limit(0)).collect(), key=str) == sorted(d.collect(), key=str)

@@ -103,3 +103,12 @@ def test_signatures_estimate_similarity(spark):
 def test_bands_miss_hardly_a_pair(threshold):
     rows, bands = mh.bands_for(threshold)
     assert rows * bands <= mh.HASHES and (1 - threshold**rows) ** bands < mh.MISS
+
+
+def test_clashing_columns_come_along(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, 7, True, 1, "a"), (2, text, 8, False, 2, "b"), (3, "else " + text[:9], 9, None, 3, "c"), (3, "else again", 1, None, 3, "c"), (None, text, 2, None, 4, "d")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _id long, kept boolean, kept_id long, c0 string")
+    got = mh.drop_near_duplicates(spark, d)
+    assert got.columns == d.columns and sorted(r.c0 for r in got.collect()) == ["a", "c", "d"]
+    assert mh.drop_near_duplicates(spark, d.limit(0)).collect() == []
