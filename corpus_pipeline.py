@@ -12,7 +12,7 @@ from rillstream.llm.common import Scratch
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject; the model learns from ``labels`` alone."""
     machine = toxicity.fit(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.toxicity(spark, docs, machine, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxicity.drop_toxic(spark, docs, machine)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
