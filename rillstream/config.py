@@ -30,10 +30,10 @@ class Config:
     include_flow_id: bool = False
     burst_threshold_ms: float = 50.0
     entropy_sample_bytes: int = 256
-    graph_use_ports: bool = False
-    graph_temporal: bool = False
-    graph_communities: str = "label_propagation"
-    doh_uses_sni: bool = False
+    bpf_filter: str | None = None
+    connection_use_ports: bool = False
+    connection_include_graph_metrics: bool = True
+    connection_include_temporal: bool = False
 
     def __post_init__(self) -> None:
         if self.flow_timeout <= 0:
@@ -75,7 +75,13 @@ class Config:
 
     @classmethod
     def from_file(cls, path: str) -> Config:
-        return cls.from_dict(json.loads(Path(path).read_text()))
+        """Options of a JSON file, or of a YAML file where a YAML reader is installed; an empty file has none."""
+        text = Path(path).read_text()
+        if path.endswith((".yaml", ".yml")):
+            import yaml
+
+            return cls.from_dict(yaml.safe_load(text) or {})
+        return cls.from_dict(json.loads(text or "{}"))
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,11 @@ def ever(cond: Column) -> Column:
     return F.coalesce(F.bool_or(cond), F.lit(False))
 
 
+def kinds(value: str | Column) -> Column:
+    """How many different values there are. A set for each session, of a domain that the wire format bounds: a distinct count would have Spark copy every packet once for each such column."""
+    return F.size(F.collect_set(F.col(value) if isinstance(value, str) else value)).cast("long")
+
+
 def only(value, cond: Column | None) -> Column:
     value = F.col(value) if isinstance(value, str) else value
     return value if cond is None else F.when(cond, value)

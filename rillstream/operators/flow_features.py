@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.columns import bits, count, ever, first, flow_id, hashed_ip, only, or_zero, percentiles, port_class, ratio, real
+from ..functions.columns import bits, count, ever, first, flow_id, hashed_ip, kinds, only, or_zero, percentiles, port_class, ratio, real
 from ..schema import ACK, FIN, RST, SYN, flag
 from .base import Columns, Group
 from .sessionize import SESSION
@@ -259,7 +259,7 @@ def padding_aggregate(cfg: Config) -> Columns:
         "p_avg": F.avg("total_len"),
         "p_mode": F.max_by("total_len", F.struct(F.col("size_n"), -F.col("size_first"))),
         "p_mode_n": F.max("size_n"),
-        "p_kinds": F.count_distinct("total_len"),
+        "p_kinds": kinds("total_len"),
         "p_log": F.avg(F.log2(F.col("size_n").cast("double"))),
         "p_iat_var": F.var_pop("iat"),
         "p_iat_std": F.stddev_pop("iat"),

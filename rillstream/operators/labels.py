@@ -2,15 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import LabelSpec
 
 
+def read_labels(spark: SparkSession, path: str, spec: LabelSpec | None = None, form: str = "auto") -> DataFrame:
+    """A label file or folder: ``csv`` with a header, ``json`` (an array, or a line for each object), or ``auto``: by the name, else by the first character.
+
+    A file without the label column is an error. CSV columns are text; a null label counts as the default.
+    """
+    spec = spec or LabelSpec()
+    if form == "auto":
+        name = path.rstrip("/").lower()
+        if name.endswith((".csv", ".csv.gz")):
+            form = "csv"
+        elif name.endswith((".json", ".jsonl", ".ndjson", ".json.gz", ".jsonl.gz")):
+            form = "json"
+        else:
+            head = spark.read.text(path).where(F.trim("value") != "").head()
+            form = "json" if head and head.value.lstrip()[:1] in ("{", "[") else "csv"
+    if form == "csv":
+        out = spark.read.csv(path, header=True)
+    elif form == "json":
+        head = spark.read.text(path).where(F.trim("value") != "").head()
+        whole = head is not None and head.value.lstrip().startswith("[")
+        out = spark.read.option("primitivesAsString", "true").json(path, multiLine=whole)
+    else:
+        raise ValueError(f"unknown label format {form!r}")
+    if spec.label not in out.columns:
+        raise ValueError(f"no label column {spec.label!r} among {out.columns}")
+    return out.withColumn(spec.label, F.coalesce(F.col(spec.label), F.lit(spec.default)))
+
+
 def _one(labels: DataFrame, keys: list[str], order: str | None) -> DataFrame:
-    """One label for each key: the last by ``order``, the largest label without one."""
-    return labels.groupBy(*keys).agg(F.max_by("label", order or "label").alias("label"))
+    """One label for each key: the last by ``order``; without one the last written, by the place in the files."""
+    placed = labels if order else labels.withColumn("_written", F.monotonically_increasing_id())
+    return placed.groupBy(*keys).agg(F.max_by("label", order or "_written").alias("label"))
 
 
 def lookup(df: DataFrame, labels: DataFrame, keys: list[str], default: str = "unknown", order: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.columns import bits, count, ever, first, last, only, or_zero, ratio, real
+from ..functions.columns import bits, count, ever, first, kinds, last, only, or_zero, ratio, real
 from ..schema import ACK, CWR, ECE, FIN, PSH, RST, SYN, URG, flag
 from .base import Columns, Group
 from .flow_features import bwd, fwd, in_order
@@ -95,9 +95,9 @@ def mac_aggregate(cfg: Config) -> Columns:
         "l_dst": first("dst_mac"),
         "l_type": first("eth_type"),
         "l_vlan": F.min("vlan_id"),
-        "l_vlans": F.count_distinct("vlan_id"),
-        "l_srcs": F.count_distinct(named("src_mac")),
-        "l_dsts": F.count_distinct(named("dst_mac")),
+        "l_vlans": kinds("vlan_id"),
+        "l_srcs": kinds(named("src_mac")),
+        "l_dsts": kinds(named("dst_mac")),
         "l_broad": count(broadcast),
         "l_multi": count(~broadcast & (octet.bitwiseAND(F.lit(1)) == 1)),
     }
@@ -131,11 +131,11 @@ def ip_aggregate(cfg: Config) -> Columns:
     out: Columns = {}
     for name, forward in SIDES:
         v = only("ip_ttl", side(forward))
-        out |= {f"i_{name}_min": F.min(v), f"i_{name}_max": F.max(v), f"i_{name}_avg": F.avg(v), f"i_{name}_kinds": F.count_distinct(v)}
+        out |= {f"i_{name}_min": F.min(v), f"i_{name}_max": F.max(v), f"i_{name}_avg": F.avg(v), f"i_{name}_kinds": kinds(v)}
     return out | {
         "i_first": first("ip_ttl", fwd() & F.col("ip_ttl").isNotNull()),
         "i_tos": F.min("ip_tos"),
-        "i_toses": F.count_distinct("ip_tos"),
+        "i_toses": kinds("ip_tos"),
         "i_flags": F.bit_or("ip_flags"),
         "i_df": count(F.col("ip_flags").bitwiseAND(F.lit(2)) != 0),
         "i_n": F.count(F.lit(1)),
@@ -170,7 +170,7 @@ def ip_finish(cfg: Config) -> Columns:
 def ipv6_aggregate(cfg: Config) -> Columns:
     six = F.col("ip_version") == 6
     label, kind = only("ipv6_flow_label", six), only("ipv6_traffic_class", six)
-    return {"v_6": count(six), "v_4": count(F.col("ip_version") == 4), "v_label": F.min(label), "v_labels": F.count_distinct(label), "v_class": F.min(kind), "v_classes": F.count_distinct(kind)}
+    return {"v_6": count(six), "v_4": count(F.col("ip_version") == 4), "v_label": F.min(label), "v_labels": kinds(label), "v_class": F.min(kind), "v_classes": kinds(kind)}
 
 
 def ipv6_finish(cfg: Config) -> Columns:
@@ -212,10 +212,10 @@ def icmp_aggregate(cfg: Config) -> Columns:
         "h_unr": count(t == UNREACHABLE),
         "h_exc": count(t == TIME_EXCEEDED),
         "h_red": count(t == REDIRECT),
-        "h_kinds": F.count_distinct(F.when(t.isNotNull() & F.col("icmp_code").isNotNull(), F.struct("icmp_type", "icmp_code"))),
+        "h_kinds": kinds(F.when(t.isNotNull() & F.col("icmp_code").isNotNull(), F.struct("icmp_type", "icmp_code"))),
         "h_mode": F.max_by("icmp_type", F.when(t.isNotNull(), F.struct(F.col("icmp_n"), -F.col("icmp_first")))),
         "h_mode_n": F.max("icmp_n"),
-        "h_ids": F.count_distinct("icmp_id"),
+        "h_ids": kinds("icmp_id"),
         "h_lo": F.min("icmp_seq"),
         "h_hi": F.max("icmp_seq"),
         "h_gaps": count(F.col("icmp_step") > 1),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators import flow_features, net_features, payload_features
 from ..operators.base import Group
+from ..operators.filters import expression
 from ..operators.graph import connection_features
 from ..operators.project import project, split_bidirectional
 from ..operators.sessionize import SESSION, sample, sessionize
@@ -40,9 +41,12 @@ def aggregate(sessions: DataFrame, names: list[str], cfg: Config) -> DataFrame:
 
 
 def extract(packets: DataFrame, cfg: Config | None = None, keep_keys: bool = False) -> DataFrame:
-    """Features of every session: sample, sessionize, aggregate, add the graph, rename and project as the options say."""
+    """Features of every session: filter, sample, sessionize, aggregate, add the graph, rename and project as the options say."""
     cfg = cfg or Config()
-    sessions = sessionize(sample(conform(packets), cfg), cfg)
+    packets = conform(packets)
+    if cfg.bpf_filter:
+        packets = packets.where(expression(cfg.bpf_filter))
+    sessions = sessionize(sample(packets, cfg), cfg)
     names = [n for n in GROUPS if cfg.wants(n)]
     graph = cfg.wants("connection")
     if graph and "flow_meta" not in names:
@@ -82,5 +86,5 @@ def _graph(out: DataFrame, cfg: Config) -> DataFrame:
             "end_us": F.round(F.col("end_time") * 1e6).cast("long"),
         }
     )
-    joined = connection_features(flows, cfg)
+    joined = connection_features(flows, cfg, metrics=cfg.connection_include_graph_metrics)
     return joined.drop("file_id", "src_node_ip", "src_node_port", "dst_node_ip", "dst_node_port", "packets", "bytes", "start_us", "end_us")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from dataclasses import asdict, dataclass
 from functools import lru_cache
 
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import Config
 
 TIERS = ("core", "extended", "experimental")
-_EVERYTHING = Config(include_raw_sequences=True, include_splt=True, include_flow_id=True, graph_temporal=True)
+_EVERYTHING = Config(include_raw_sequences=True, include_splt=True, include_flow_id=True, connection_include_temporal=True)
 GRAPH_OPTIONAL = ("conn_src_flow_rate", "conn_temporal_spread", "conn_burst_connections")
 
 
@@ -88,3 +90,12 @@ def markdown() -> str:
 
 def as_dicts() -> list[dict]:
     return [asdict(f) | {"id": f.id} for f in catalogue()]
+
+
+def csv_text() -> str:
+    """The catalogue as CSV: ``id,name,group,tier,dtype``; types that hold commas stand in quotes."""
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator="\n")
+    w.writerow(["id", "name", "group", "tier", "dtype"])
+    w.writerows([f.id, f.name, f.group, f.tier or "", f.dtype] for f in catalogue())
+    return out.getvalue()

@@ -10,6 +10,7 @@ from __future__ import annotations
 import ipaddress
 import os
 import struct
+import time
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -225,20 +226,35 @@ class _Reader(DataSourceReader):
 
 
 class _Stream(DataSourceStreamReader):
-    """New files of a folder: the offset is the last name read, so a file is read once; files must come in the order of their names."""
+    """New files of a folder, each read once, in whatever order they come; the offset names the files taken so far.
+
+    A file that has grown since the look before is left for a later one, and so is one that was written to less than ``settleSeconds`` (0) ago:
+    set that where writers append to files in the folder.
+    """
 
     def __init__(self, options: dict):
         self.path, self.keep = options["path"], int(options.get("payloadBytes", PAYLOAD))
+        self.settle = float(options.get("settleSeconds", 0))
+        self.sizes: dict[str, int] = {}
+        self.taken: set[str] = set()
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
+        return {"files": []}
 
     def latestOffset(self) -> dict:
-        found = captures(self.path)
-        return {"after": os.path.basename(found[-1]) if found else ""}
+        sizes = {}
+        for p in captures(self.path):
+            name, found = os.path.basename(p), os.stat(p)
+            sizes[name] = found.st_size
+            if time.time() - found.st_mtime >= self.settle and self.sizes.get(name, found.st_size) == found.st_size:
+                self.taken.add(name)
+        self.sizes = sizes
+        return {"files": sorted(self.taken)}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_File(p) for p in captures(self.path) if start["after"] < os.path.basename(p) <= end["after"]]
+        new = set(end["files"]) - set(start["files"])
+        self.taken |= set(end["files"])  # after a restart, what was taken before
+        return [_File(p) for p in captures(self.path) if os.path.basename(p) in new]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         return rows(partition.path, self.keep)
