@@ -124,3 +124,24 @@ SELECT n.page_id, n.payload_bytes, n.payload_digest, CASE WHEN n.page_id = l.pag
     CASE WHEN n.page_id <> l.page THEN l.page END AS refers_to
 FROM named n JOIN largest l ON l.html = n.html
 """
+
+ORACLE_SQL["op10_sharding"] = r"""
+WITH rows AS (
+    SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) + 8 AS size, coalesce(text, '') AS text FROM documents
+), nibbles AS (
+    -- the check sum's table, a byte at a time: eight steps of the reversed polynomial for each of 256 values
+    SELECT v, list_reduce(list_prepend(CAST(v AS BIGINT), range(8)), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM range(256) g(v)
+), tab AS (
+    SELECT list(t ORDER BY v) AS t FROM nibbles
+), bytes AS (
+    SELECT DISTINCT text, list_transform(range(CAST(strlen(text) AS BIGINT)), lambda k: CAST('0x' || substr(hex(encode(text)), 2 * k + 1, 2) AS BIGINT)) AS b FROM rows
+), sums AS (
+    SELECT text, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM bytes, tab
+), placed AS (
+    SELECT doc_id, size, crc, (24 * (sum(size) OVER w - size)) // sum(size) OVER () AS shard FROM rows JOIN sums USING (text)
+    WINDOW w AS (ORDER BY doc_id NULLS FIRST, crc, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)
+SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
+    row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM placed
+"""
