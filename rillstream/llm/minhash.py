@@ -1,7 +1,7 @@
 """Near-duplicates by b-bit MinHash.
 
 1. One pass over the texts gives each document the size and a 128-bit key of its shingle set, keys of its bands (of whole
-   minima) and its signature: the low two bits of every minimum, packed into longs.
+   minima) and its signature: two bits of every minimum, packed into longs.
 2. Documents of one set key form a class; from here on only its smallest id is worked with.
 3. In every band bucket the members are paired with the smallest one, the hub, not with one another. Similarity is estimated from the
    signatures by bit counts, corrected for chance collisions; pairs that may reach the threshold are confirmed on the full sets.
@@ -96,8 +96,9 @@ def minima(hashed: np.ndarray) -> np.ndarray:
 
 
 def signature(least: np.ndarray) -> np.ndarray:
-    """The low bits of the minima, packed into 64-bit words."""
-    low = (least & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(-1, 64 // BITS)
+    """Bits of the minima, packed into 64-bit words: the minima are mixed first, as multiplying by odd numbers keeps their own low bits apart or alike in all functions at once."""
+    mixed = (least ^ (least >> np.uint32(15))) * np.uint32(0x9E3779B1)
+    low = (mixed >> np.uint32(32 - BITS)).astype(np.uint64).reshape(-1, 64 // BITS)
     return np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=1)
 
 

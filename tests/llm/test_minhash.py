@@ -112,3 +112,17 @@ def test_clashing_columns_come_along(spark):
     got = mh.drop_near_duplicates(spark, d)
     assert got.columns == d.columns and sorted(r.c0 for r in got.collect()) == ["a", "c", "d"]
     assert mh.drop_near_duplicates(spark, d.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("n,threshold", [(4, 0.8), (6, 0.85)])
+def test_estimates_of_small_sets_stay_within_their_margin(n, threshold):
+    rng = np.random.default_rng(3)
+    kept = []
+    for _ in range(3000):
+        s = rng.integers(0, 1 << 63, n + 1, np.uint64) * np.uint64(2)
+        x = mh.signature(mh.minima(s[:n])) ^ mh.signature(mh.minima(s))
+        unequal = sum(bin(int(v | (v >> np.uint64(1))) & 0x5555555555555555).count("1") for v in x)
+        kept.append((1 - unequal / mh.HASHES - 0.25) / 0.75)
+    assert min(kept) > mh.least_estimate(threshold)
+    assert np.std(kept) < 1.1 * mh.SIGMA  # no wider than independent bits
+    assert abs(np.mean(kept) - n / (n + 1)) < 0.005
