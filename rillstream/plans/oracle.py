@@ -6,6 +6,7 @@ from ..sources.adapters import event_packets_sql
 
 TIMEOUT_US = 21_600_000_000
 BURST_US = 50_000
+SAMPLE_BYTES = 256
 
 #: Sessions: the row-by-row rule, unrolled into anchors, as common table expressions over ``events``.
 SESSIONS = f"""
@@ -350,6 +351,27 @@ SELECT {SHOWN_KEYS}, CAST(sum(total_len) AS BIGINT) AS total_total_bytes, CAST(c
 OTHERS["conversation_directions"] = """SELECT CAST(conv_id AS VARCHAR) AS file_id, count(*) AS total_packets, CAST(sum(strlen(text) + 40) AS BIGINT) AS total_bytes, round(stddev_pop(strlen(text)), 3) AS payload_len_std
 FROM conversations GROUP BY conv_id"""
 
+#: Numbers of these streams stay far under the wrap, so the next expected one is the greatest end so far.
+OTHERS["seq_fold"] = f"""WITH {SESSIONS},
+expected AS (SELECT *, max(tcp_seq + greatest(payload_len, 1)) OVER (PARTITION BY {KEYS}, fwd ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS want FROM s)
+SELECT {SHOWN_KEYS}, count(*) FILTER (fwd AND tcp_seq > want) AS tcp_seq_fwd_gaps, count(*) FILTER (fwd AND tcp_seq < want) AS tcp_seq_fwd_ooo,
+    count(*) FILTER (NOT fwd AND tcp_seq > want) AS tcp_seq_bwd_gaps, count(*) FILTER (NOT fwd AND tcp_seq < want) AS tcp_seq_bwd_ooo
+FROM expected GROUP BY {KEYS}"""
+
+OTHERS["entropy_flows"] = f"""WITH turns AS (SELECT *, (role <> 'assistant') = first_value(role <> 'assistant') OVER (PARTITION BY conv_id ORDER BY turn) AS fwd FROM conversations),
+sides AS (SELECT conv_id, fwd, left(hex(encode(string_agg(text, '' ORDER BY turn))), {2 * SAMPLE_BYTES}) AS h FROM turns GROUP BY conv_id, fwd),
+each AS (SELECT conv_id, fwd, substr(h, 2 * i + 1, 2) AS v FROM (SELECT *, unnest(range(strlen(h) // 2)) AS i FROM sides)),
+counted AS (SELECT conv_id, fwd, v, count(*) AS n FROM each GROUP BY conv_id, fwd, v),
+said AS (SELECT conv_id, fwd, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM counted GROUP BY conv_id, fwd),
+whole AS (SELECT conv_id, v, CAST(sum(n) AS BIGINT) AS n FROM counted GROUP BY conv_id, v),
+facts AS (SELECT conv_id, sum(n) AS total, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e, sum(n * n) / (sum(n) * sum(n)) - 1 / 256 AS uneven,
+    coalesce(sum(n) FILTER ((v >= '20' AND v <= '7E') OR v IN ('09', '0A', '0D')), 0) / sum(n) AS printable, coalesce(sum(n) FILTER (v >= '80'), 0) / sum(n) AS high FROM whole GROUP BY conv_id),
+convs AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS file_id, round(coalesce(f.e, 0), 6) + 0.0 AS entropy_payload, round(coalesce(i.e, 0), 6) + 0.0 AS entropy_initiator, round(coalesce(r.e, 0), 6) + 0.0 AS entropy_responder,
+    round(CAST(coalesce(printable, 0) AS DOUBLE), 6) AS printable_ratio, round(CAST(coalesce(high, 0) AS DOUBLE), 6) AS high_byte_ratio,
+    round(CASE WHEN total >= 256 THEN greatest(0, 1 - uneven) ELSE 0 END, 6) AS byte_distribution_uniformity, CAST(coalesce(total, 0) AS BIGINT) AS payload_bytes_sampled
+FROM convs LEFT JOIN facts f USING (conv_id) LEFT JOIN (FROM said WHERE fwd) i USING (conv_id) LEFT JOIN (FROM said WHERE NOT fwd) r USING (conv_id)"""
+
 OTHERS["label_sessions"] = f"""WITH {SESSIONS},
 flows AS (SELECT arg_min(src_ip, pos) AS src, arg_min(dst_ip, pos) AS dst FROM s GROUP BY {KEYS}),
 users AS (SELECT DISTINCT src_ip AS u, dst_ip AS v FROM packets WHERE src_ip LIKE 'u%' AND dst_port = 443)

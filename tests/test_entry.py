@@ -27,7 +27,7 @@ def tables(tmp_path_factory):
     return where
 
 
-@pytest.mark.parametrize("name", ["flow_sessions", "timing_bursts", "size_dominant", "tcp_state", "dup_ack", "rtt_asof", "splt_exploded"])
+@pytest.mark.parametrize("name", ["flow_sessions", "timing_bursts", "size_dominant", "tcp_state", "dup_ack", "rtt_asof", "splt_exploded", "seq_fold"])
 def test_queries_equal_their_oracles(spark, tables, name):
     from rillstream.plans.oracle import all_sql
     from rillstream.plans.queries import QUERIES
