@@ -249,7 +249,7 @@ def lm_scores(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_c
         }
         return pa.table({k: pa.array(x) for k, x in columns.items()})
 
-    found = scratch.table(pack_pairs(docs, shards, hot).groupBy("shard").applyInArrow(score, schema), "found")
+    found = scratch.table(pack_pairs(docs, shards, hot).repartition(shards, "shard").groupBy("shard").applyInArrow(score, schema), "found")
     # at most 8 rows a shard
     kinds = {r.hot: r.n for r in found.where("kind = 2").groupBy("hot").agg(F.sum("n").alias("n")).collect()}
     weight = {int(k): math.log10(discount * m / hot_count[k]) for k, m in kinds.items() if hot_count[k]}
