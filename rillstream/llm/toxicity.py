@@ -234,6 +234,8 @@ def fit(
     everyone = {r.y: r.n for r in taught.groupBy("y").agg(F.count("*").alias("n")).collect()}
     taken = {r.y: r.n for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     machine.bias += float(np.log(everyone[1] / taken[1]) - np.log(everyone[0] / taken[0]))
+    del got, lists, ends, flat, y, row, kinds, docs
+    scratch.release()
     return machine
 
 

@@ -1,6 +1,8 @@
 import base64
+import gc
 import gzip
 import hashlib
+import time
 import zlib
 
 import pytest
@@ -211,3 +213,25 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(Scratch(spark, "t"), d).collect()}
     want = {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 160)}
     assert {k: v for k, v in got.items() if k != v} == want
+
+
+def test_a_table_leaves_no_large_garbage_in_the_drivers_heap(spark):
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    most = int(0.35 * heap.maxMemory())
+    gc.disable()  # what follows goes only when garbage is collected in Python, and then in Java
+    held = [spark.sparkContext._jvm.java.util.ArrayList(most // 4)]
+    held.append(held)
+    del held
+    scratch, few = Scratch(spark, "test-heap"), spark.range(3).toDF("id")
+    assert scratch.table(few, "few").count() == 3
+    time.sleep(3)  # Python tells Java from a thread
+    scratch.table(few, "few")
+    gc.enable()
+    assert heap.totalMemory() - heap.freeMemory() < most
+
+
+def test_components_without_links_stop_after_a_round(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name, f=Scratch.table: made.append(name) or f(self, df, name))
+    none = spark.createDataFrame([(1, 1), (2, None)], "a long, b long")
+    assert components(Scratch(spark, "test-none"), none).isEmpty() and made == ["cc-0", "cc-1"]
